@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -44,9 +45,14 @@ def materialize(df: DataFrame, label: str, release_shuffles: bool = True) -> Dat
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner drop the shuffle files of finished jobs, so that stages don't add up on disk."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Lets Spark's cleaner drop the shuffle files of finished jobs, so that stages don't add up on disk.
+
+    The first collection ends the plans, the second what only they held.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,17 +84,18 @@ def text_size(docs: DataFrame, column: str = "text") -> tuple[int, int]:
     return r["n"], int(r["b"] or 0)
 
 
-def with_slices(docs: DataFrame, slice_bytes: int, least: int = 64) -> tuple[DataFrame, int, int, int]:
-    """(doc_id, text, slice): slices are ranges of doc_id that hold about slice_bytes of text; null ids are in slice 0.
-
-    Also returns the number of slices, of rows and of bytes.
-    """
+def slice_bounds(docs: DataFrame, slice_bytes: int, least: int = 64) -> tuple[list[int], int, int]:
+    """Bounds of doc_id between slices that hold about slice_bytes of text each; also the number of rows and of bytes."""
     n, size = text_size(docs)
     k = max(least, -(-size // slice_bytes))
     probs = [i / k for i in range(1, k)]
     bounds = docs.agg(F.percentile_approx("doc_id", F.array(*[F.lit(p) for p in probs]), 20 * k).alias("q")).first()["q"] if n else None
-    bounds = sorted({b for b in bounds or [] if b is not None})
-    return docs.select("doc_id", "text", at_position(bounds, F.col("doc_id")).alias("slice")), len(bounds) + 1, n, size
+    return sorted({b for b in bounds or [] if b is not None}), n, size
+
+
+def with_slices(docs: DataFrame, bounds: list[int]) -> DataFrame:
+    """(doc_id, text, slice): slices are ranges of doc_id; null ids are in slice 0."""
+    return docs.select("doc_id", "text", at_position(bounds, F.col("doc_id")).alias("slice"))
 
 
 # ---- text as bytes -------------------------------------------------------------------------------

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, packing, sharding, suffix_dedup, tiff, warc
+from . import bpe, langid, line_dedup, minhash, nn_descent, packing, sharding, suffix_dedup, tiff, warc
 from .common import materialize, table
 
 
@@ -28,14 +28,27 @@ def op3_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), length=4096, end_id=2)
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents"), t=2, least_length=32)
+    return out.select("doc_id", "n_lines", "n_removed", "n_near", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op5_tiff_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiff.digests(table(spark, sf_dir, "documents"))
 
 
+def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=5, threshold=0.8)
+
+
 def op7_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op8_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nn_descent.link_vectors(table(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
 def op9_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), weights=(1.0,) * 40, grown=1.0)
 
@@ -46,5 +59,5 @@ def op10_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_language_id, op3_hilbert_packing, op5_tiff_media, op7_trie_bpe, op9_rendezvous_sharding, op10_warc_salvage)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_language_id, op3_hilbert_packing, op4_line_dedup, op5_tiff_media, op6_minhash_dedup, op7_trie_bpe, op8_nn_descent, op9_rendezvous_sharding, op10_warc_salvage)}
 ORACLE_SQL: dict[str, str] = {}

@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -96,9 +97,9 @@ def subtree_repeats(paths: np.ndarray, owners: np.ndarray) -> np.ndarray:
     return out
 
 
-def _sorted_docs(t: pa.Table) -> pa.Table:
+def sorted_docs(t: pa.Table) -> pa.Table:
     """The order in which earlier is judged: doc_id (null first), then text, so that repeated rows have an order too."""
-    return t.sort_by([("doc_id", "ascending"), ("text", "ascending")]) if t.column("doc_id").null_count == 0 else t.append_column("_", pa.compute.is_valid(t.column("doc_id")).cast(pa.int8())).sort_by([("_", "ascending"), ("doc_id", "ascending"), ("text", "ascending")])
+    return t.sort_by([("doc_id", "ascending"), ("text", "ascending")]) if t.column("doc_id").null_count == 0 else t.append_column("_", pc.is_valid(t.column("doc_id")).cast(pa.int8())).sort_by([("_", "ascending"), ("doc_id", "ascending"), ("text", "ascending")])
 
 
 def _slice_paths(t: pa.Table, window: int, first, split, wide: bool):
@@ -140,10 +141,10 @@ def remove_repeats(docs: DataFrame, window: int = 20, slice_bytes: int = 6 << 20
     wide = path_bits > 64
     docs = docs.select("doc_id", "text")
     first, split, n_groups = plan_groups(prefix_counts(docs, window), group_suffixes, least_groups)
-    sliced, *_ = C.with_slices(docs, slice_bytes)
+    sliced = C.with_slices(docs, C.slice_bounds(docs, slice_bytes)[0])
 
     def send(key, t):
-        _, groups, paths, _, _ = _slice_paths(_sorted_docs(t), window, first, split, wide)
+        _, groups, paths, _, _ = _slice_paths(sorted_docs(t), window, first, split, wide)
         edges = np.flatnonzero(np.diff(groups, prepend=-1, append=-1)) if len(groups) else np.zeros(1, np.int64)
         used = groups[edges[:-1]]
         return pa.table({"grp": pa.array(used, pa.int32()), "slice": pa.array(np.full(len(used), key[0].as_py()), pa.int32()), "paths": pa.array([paths[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)], pa.binary())})
@@ -160,7 +161,7 @@ def remove_repeats(docs: DataFrame, window: int = 20, slice_bytes: int = 6 << 20
     answers = C.materialize(sliced.groupBy("slice").applyInArrow(send, "grp int, slice int, paths binary").groupBy("grp").applyInArrow(answer, "slice int, grp int, bits binary"), "repeats")
 
     def remove(key, t, replies):
-        t = _sorted_docs(t)
+        t = sorted_docs(t)
         parts, groups, _, heads, name = _slice_paths(t, window, first, split, wide)
         repeated = np.zeros(len(groups), bool)
         for g, bits in zip(replies.column("grp").to_numpy(), replies.column("bits").to_pylist(), strict=True):
