@@ -107,15 +107,50 @@ def within(a: Column, b: Column, t: int) -> Column:
     return (F.abs(F.size(b) - F.size(a)) <= t) & (F.getbit(end.cast("long"), F.when((diagonal >= 0) & (diagonal < width), diagonal).otherwise(0)) == 1)
 
 
+def _signature(characters: Column) -> Column:
+    """Parities of the numbers of hashed characters (c, 64 bits) and of hashed pairs of neighbours (p and q, 128 bits); the ends have an empty neighbour.
+
+    An edit takes away at most one character and brings one, and so at most two pairs and two: lines within t edits differ in
+    2t bits of c at most, and in 4t bits of p and q together.
+    """
+    zero = F.lit(0).cast("long")
+    start = F.struct(F.lit("").alias("last"), zero.alias("c"), zero.alias("p"), zero.alias("q"))
+    bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(h, F.lit(64)).cast("int"))
+
+    def step(s, x):
+        pair = F.xxhash64(s["last"], x)
+        first = F.getbit(pair, F.lit(40)) == 0
+        return F.struct(
+            x.alias("last"),
+            F.when(x == "", s["c"]).otherwise(s["c"].bitwiseXOR(bit(F.xxhash64(x)))).alias("c"),
+            F.when(first, s["p"].bitwiseXOR(bit(pair))).otherwise(s["p"]).alias("p"),
+            F.when(first, s["q"]).otherwise(s["q"].bitwiseXOR(bit(pair))).alias("q"),
+        )
+
+    return F.aggregate(F.concat(characters, F.array(F.lit(""))), start, step)
+
+
 def near_pairs(lines: DataFrame, t: int = DISTANCE, least_length: int = LEAST_LENGTH) -> DataFrame:
-    """Pairs (x1, x2, y1, y2) of the hashes of distinct lines (h1, h2, line) within edit distance t, both of least_length characters or more."""
+    """Pairs (x1, x2, y1, y2) of the hashes of distinct lines (h1, h2, line) within edit distance t, both of least_length characters or more.
+
+    First only the keys are found under which different lines meet. The lines of those get a signature that all links respect, and only
+    pairs whose signatures are near enough are made: variants of one line that share a segment but differ elsewhere make none.
+    """
     long = lines.withColumn("n", F.char_length("line")).filter(F.col("n") >= least_length)
     index = long.select(F.col("h1").alias("x"), F.explode(_index(t)).alias("key"))
     probe = long.select(F.col("h1").alias("y"), F.explode(_probes(t)).alias("key"))
-    met = index.join(probe, "key").filter("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
-    met = C.materialize(met, "line-pairs")
-    texts = long.join(met.select(F.explode(F.array("x", "y")).alias("h1")).distinct(), "h1").select("h1", "h2", "line", "n")
-    texts = C.materialize(texts, "line-texts")
+    ranges = index.groupBy("key").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
+    asking = C.materialize(probe.join(ranges, "key").filter("lo <> y or hi <> y").select("key", "y"), "line-probes")
+    keys = C.materialize(asking.select("key").distinct(), "line-keys", False)
+    asked = C.materialize(index.join(keys, "key").select("key", "x"), "line-index")
+    ids = asked.select(F.col("x").alias("h1")).unionByName(asking.select(F.col("y").alias("h1"))).distinct()
+    texts = C.materialize(long.join(ids, "h1").select("h1", "h2", "line", "n"), "line-texts")
+    signed = C.materialize(texts.select("h1", _signature(F.filter(F.split("line", ""), lambda c: c != "")).alias("sig")), "line-signatures", False)
+    left = C.materialize(asked.join(signed.toDF("x", "sx"), "x"), "line-left", False)
+    right = C.materialize(asking.join(signed.toDF("y", "sy"), "y"), "line-right", False)
+    near = f"x <> y and bit_count(sx.c ^ sy.c) <= {2 * t} and bit_count(sx.p ^ sy.p) + bit_count(sx.q ^ sy.q) <= {4 * t}"
+    met = left.alias("l").join(right.alias("r"), F.expr(f"l.key = r.key and {near}")).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    met = C.materialize(met, "line-pairs", False)
     both = met.join(texts.toDF("x", "x2", "a", "na"), "x").join(texts.toDF("y", "y2", "b", "nb"), "y").filter(F.abs(F.col("na") - F.col("nb")) <= t)
     shorter = F.least("na", "nb")
     both = both.withColumn("p", _common(F.col("a"), F.col("b"), shorter, False))
@@ -126,6 +161,32 @@ def near_pairs(lines: DataFrame, t: int = DISTANCE, least_length: int = LEAST_LE
     return both.filter(within(F.col("ca"), F.col("cb"), t)).select(F.col("x").alias("x1"), "x2", F.col("y").alias("y1"), "y2")
 
 
+def kept_lines(docs: DataFrame, t: int = DISTANCE, least_length: int = LEAST_LENGTH) -> DataFrame:
+    """(id, kept, n_near): for each doc_id (null: the least) the numbers of the lines that stay, blank ones aside, and how many only a near line removes."""
+    lines = C.materialize(distinct_lines(docs), "lines")
+    pairs = near_pairs(lines, t, least_length)
+    at = lines.select("h1", "h2", "doc_id", "line_no")
+    seen = C.materialize(pairs, "near-lines")
+    ends = seen.join(at.toDF("x1", "x2", "xd", "xl"), ["x1", "x2"]).join(at.toDF("y1", "y2", "yd", "yl"), ["y1", "y2"])
+    later = F.when(F.expr("struct(xd, xl) < struct(yd, yl)"), F.struct(F.col("yd").alias("d"), F.col("yl").alias("l"))).otherwise(F.struct(F.col("xd").alias("d"), F.col("xl").alias("l")))
+    near = ends.select(later.alias("s")).select(F.col("s.d").alias("doc_id"), F.col("s.l").alias("line_no")).distinct().withColumn("near", F.lit(True))
+    marked = at.select("doc_id", "line_no").join(near, ["doc_id", "line_no"], "left")
+    kept = marked.groupBy("doc_id").agg(F.collect_list(F.when(F.col("near").isNull(), F.col("line_no"))).alias("kept"), F.count("near").alias("n_near"))
+    return C.materialize(kept.withColumnRenamed("doc_id", "id"), "kept-lines")
+
+
+def rewrite_lines(docs: DataFrame, t: int = DISTANCE, least_length: int = LEAST_LENGTH) -> DataFrame:
+    """docs and the struct _lines: n_lines, n_removed, n_near and kept_text (null for a null text); see dedup_lines()."""
+    kept = kept_lines(docs.select("doc_id", "text"), t, least_length).select(F.col("id").alias("_id"), F.struct("kept", "n_near").alias("_kept"))
+    rows = docs.withColumn("_id", F.coalesce("doc_id", F.lit(C.LEAST_LONG))).join(kept, "_id", "left")
+    rows = rows.withColumn("_all", F.coalesce(F.split("text", "\n"), F.array().cast("array<string>"))).withColumn("_stay", F.coalesce("_kept.kept", F.array().cast("array<int>")))
+    rows = rows.withColumn("_left", F.filter("_all", lambda x, i: (F.trim(x) == "") | F.array_contains(F.col("_stay"), i)))
+    n_lines = F.size(F.filter("_all", lambda x: F.trim(x) != "")).cast("long")
+    n_removed = F.size("_all").cast("long") - F.size("_left")
+    found = F.struct(n_lines.alias("n_lines"), n_removed.alias("n_removed"), F.coalesce("_kept.n_near", F.lit(0)).alias("n_near"), F.when(F.col("text").isNotNull(), F.array_join("_left", "\n")).alias("kept_text"))
+    return rows.select(*docs.columns, found.alias("_lines"))
+
+
 def dedup_lines(docs: DataFrame, t: int = DISTANCE, least_length: int = LEAST_LENGTH) -> DataFrame:
     """Keeps of every line its first occurrence (by doc_id, then place), unless a line within edit distance t occurs first before that.
 
@@ -133,18 +194,4 @@ def dedup_lines(docs: DataFrame, t: int = DISTANCE, least_length: int = LEAST_LE
     that is removed still removes others. Returns one row per row of docs: doc_id, n_lines, n_removed, n_near (of these, first occurrences that only a near line
     removes), kept_text (the lines that stay, joined by newlines; a null text stays null). Rows that share a doc_id are judged as one document; other columns are ignored.
     """
-    lines = C.materialize(distinct_lines(docs), "lines")
-    pairs = near_pairs(lines, t, least_length)
-    at = lines.select("h1", "h2", "doc_id", "line_no")
-    seen = C.materialize(pairs, "near-lines")
-    ends = seen.join(at.toDF("x1", "x2", "xd", "xl"), ["x1", "x2"]).join(at.toDF("y1", "y2", "yd", "yl"), ["y1", "y2"])
-    first_x = F.expr("struct(xd, xl) < struct(yd, yl)")
-    near = ends.select(F.when(first_x, F.struct(F.col("yd").alias("d"), F.col("yl").alias("l"))).otherwise(F.struct(F.col("xd").alias("d"), F.col("xl").alias("l"))).alias("s")).select(F.col("s.d").alias("doc_id"), F.col("s.l").alias("line_no")).distinct().withColumn("near", F.lit(True))
-    marked = at.select("doc_id", "line_no").join(near, ["doc_id", "line_no"], "left")
-    kept = C.materialize(marked.groupBy("doc_id").agg(F.collect_list(F.when(F.col("near").isNull(), F.col("line_no"))).alias("kept"), F.count("near").alias("n_near")), "kept-lines")
-    rows = docs.select(F.col("doc_id").alias("id"), "text", F.coalesce("doc_id", F.lit(C.LEAST_LONG)).alias("doc_id")).join(kept, "doc_id", "left")
-    rows = rows.withColumn("ls", F.coalesce(F.split("text", "\n"), F.array().cast("array<string>"))).withColumn("kept", F.coalesce("kept", F.array().cast("array<int>")))
-    full = F.filter("ls", lambda x: F.trim(x) != "")
-    stay = F.filter("ls", lambda x, i: (F.trim(x) == "") | F.array_contains(F.col("kept"), i))
-    rows = rows.select(F.col("id").alias("doc_id"), F.size(full).cast("long").alias("n_lines"), F.coalesce("n_near", F.lit(0)).alias("n_near"), F.when(F.col("text").isNotNull(), F.array_join(stay, "\n")).alias("kept_text"), F.size(F.filter(stay, lambda x: F.trim(x) != "")).cast("long").alias("n_kept"))
-    return rows.select("doc_id", "n_lines", (F.col("n_lines") - F.col("n_kept")).alias("n_removed"), "n_near", "kept_text")
+    return rewrite_lines(docs.select("doc_id", "text"), t, least_length).select("doc_id", "_lines.*")
