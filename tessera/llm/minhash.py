@@ -4,9 +4,10 @@
    many documents hold them; buckets add up document frequencies and answer each slice, in the order it sent.
 2. A slice weighs its documents' shingles, draws the consistent weighted samples, and writes a sketch per text: band hashes, total
    weight, and the weights of the shingles that other documents have too. Of equal texts one is sketched.
-3. Of each band's bucket every document is verified against the least one by weighted Jaccard similarity; components of these links are
-   formed. Where documents of one bucket are in different components after that, their pairs are verified too; pairs inside a component can't
-   change it. So a group of copies costs as many pairs as it has documents.
+3. Of each band's bucket every document is verified by weighted Jaccard similarity against the least one and against the one that meets most others;
+   components of these links are formed. Where documents of one bucket are in different components after that, they are verified against one more and then all pairs are, if enough of all their
+   samples agree (as they do, but for one pair in ten thousand, at the threshold); pairs inside a component can't change it. So a group of copies costs a few pairs
+   for each of its documents, and documents that only share a passage make hardly any.
 """
 
 from __future__ import annotations
@@ -23,10 +24,15 @@ from .graph import components
 from .suffix_dedup import sorted_docs
 
 ROWS, BANDS = 3, 14
-#: How much the least frequent shingle weighs more than one that is in every document.
-IDF = 0.5
+#: How much the least frequent shingle weighs more than one that is in every document. Much more would part large groups of near copies, whose
+#: common shingles are frequent by their number alone.
+IDF = 0.05
 #: Shingles of a bucket of the document-frequency exchange.
 BUCKET_SHINGLES = 2_000_000
+#: Rounds of links inside buckets after the first; all pairs of different components are compared in the last.
+ROUNDS = 2
+#: Deviations by which a pair's agreeing samples may fall short of what the threshold makes expect before it is passed over.
+DEVIATIONS = 4.0
 
 
 def shingles(data, offsets, k: int):
@@ -106,7 +112,7 @@ def similarity(keys_a, weights_a, total_a, keys_b, weights_b, total_b) -> float:
 
 
 def sketch(docs: DataFrame, k: int = 5, rows: int = ROWS, bands: int = BANDS, slice_bytes: int = 6 << 20) -> tuple[DataFrame, DataFrame]:
-    """Sketches (doc_id, total, bands, keys, weights) of one document of each group of equal texts, and the others (doc_id, same_as)."""
+    """Sketches (doc_id, total, bands, c0 .. c2: three bits of each sample, keys, weights) of one document of each group of equal texts, and the others (doc_id, same_as)."""
     C.configure(docs.sparkSession)
     docs = docs.select(F.coalesce("doc_id", F.lit(C.LEAST_LONG)).alias("doc_id"), "text")
     bounds, n, size = C.slice_bounds(docs, slice_bytes)
@@ -167,7 +173,7 @@ def sketch(docs: DataFrame, k: int = 5, rows: int = ROWS, bands: int = BANDS, sl
             where = a + np.flatnonzero(np.unpackbits(np.frombuffer(shared, np.uint8), count=z - a))
             df[where] = np.frombuffer(frequency, np.uint8).reshape(4, -1).T.copy().view("<u4").ravel()
         doc_ids = t.column("doc_id").to_pylist()
-        out: list[list] = [[], [], [], [], []]
+        out: list[list] = [[] for _ in range(8)]
         seen = set()
         for i, j, of, value, count, at in slice_shingles(t):
             live = np.array([d not in skip for d in doc_ids[i:j]])
@@ -178,6 +184,8 @@ def sketch(docs: DataFrame, k: int = 5, rows: int = ROWS, bands: int = BANDS, sl
             weight = (count * idf(f, n)).astype(np.float32)
             codes = samples(value, weight, at, rows * bands)
             band = np.stack([C.mix(sum(codes[:, b * rows + q] * np.uint64(2 * q + 3) for q in range(rows)) + np.uint64(b)) for b in range(bands)], axis=1).view(np.int64)
+            k_bits = np.uint64(1) << np.arange(min(64, rows * bands), dtype=np.uint64)
+            bits = [(((codes[:, : len(k_bits)] >> np.uint64(q)) & np.uint64(1)) * k_bits).sum(axis=1).view(np.int64) for q in (7, 23, 41)]
             total = np.add.reduceat(np.append(weight.astype(np.float64), 0.0), np.minimum(at[:-1], len(weight)))
             for d in range(j - i):
                 a, z = at[d], at[d + 1]
@@ -185,14 +193,20 @@ def sketch(docs: DataFrame, k: int = 5, rows: int = ROWS, bands: int = BANDS, sl
                     continue
                 seen.add(doc_ids[i + d])
                 common = f[a:z] > 1
-                for column, x in zip(out, (doc_ids[i + d], float(total[d]), band[d], value[a:z][common].tobytes(), weight[a:z][common].tobytes()), strict=True):
+                for column, x in zip(out, (doc_ids[i + d], float(total[d]), band[d], int(bits[0][d]), int(bits[1][d]), int(bits[2][d]), value[a:z][common].tobytes(), weight[a:z][common].tobytes()), strict=True):
                     column.append(x)
-        return pa.table([pa.array(c, x) for c, x in zip(out, (pa.int64(), pa.float64(), pa.list_(pa.int64()), pa.binary(), pa.binary()), strict=True)], names=["doc_id", "total", "bands", "keys", "weights"])
+        return pa.table([pa.array(c, x) for c, x in zip(out, (pa.int64(), pa.float64(), pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["doc_id", "total", "bands", "c0", "c1", "c2", "keys", "weights"])
 
-    sketches = sliced.groupBy("slice").cogroup(replies.groupBy("slice")).applyInArrow(draw, "doc_id long, total double, bands array<bigint>, keys binary, weights binary")
+    sketches = sliced.groupBy("slice").cogroup(replies.groupBy("slice")).applyInArrow(draw, "doc_id long, total double, bands array<bigint>, c0 long, c1 long, c2 long, keys binary, weights binary")
     return C.materialize(sketches, "sketches"), copies
 
 
+def least_agreement(threshold: float, n: int) -> int:
+    """Of n samples, of which three bits are compared, how many must agree."""
+    p = threshold + (1 - threshold) / 8
+    return max(0, int(n * p - DEVIATIONS * (n * p * (1 - p)) ** 0.5))
+
+
 def verify(pairs: DataFrame, sketches: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) whose weighted Jaccard similarity reaches the threshold."""
     s = sketches.select("doc_id", "total", "keys", "weights")
@@ -216,25 +230,36 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8, rows: i
     Other columns are ignored.
     """
     sketches, copies = sketch(docs, k, rows, bands)
-    in_bands = sketches.select("doc_id", "total", F.posexplode("bands").alias("band", "code")).select("doc_id", "total", F.xxhash64("band", "code").alias("bucket"))
-    heads = C.materialize(in_bands.groupBy("bucket").agg(F.min("doc_id").alias("head"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "heads", False)
+    light = ["doc_id", "total", "c0", "c1", "c2"]
+    in_bands = sketches.select(*light, F.posexplode("bands").alias("band", "code")).select(*light, F.xxhash64("band", "code").alias("bucket"))
+    heads = C.materialize(in_bands.groupBy("bucket").agg(F.min("doc_id").alias("head"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "heads", False)
     hits = C.materialize(in_bands.join(heads, "bucket"), "hits")
-    first = C.materialize(hits.filter("doc_id <> head").select(F.col("head").alias("a"), F.col("doc_id").alias("b")).distinct(), "pairs", False)
-    links = C.materialize(verify(first, sketches, threshold), "links")
-    parts = C.materialize(components(links), "parts")
-
-    placed = C.materialize(hits.join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("bucket", "doc_id", "total", F.coalesce("component", "doc_id").alias("component")), "placed", False)
-    mixed = C.materialize(placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("bucket"), "mixed", False)
-    rest = C.materialize(placed.join(mixed, "bucket"), "rest", False)
-    x, y = rest.alias("x"), rest.alias("y")
-    second = (
-        x.join(y, F.expr(f"x.bucket = y.bucket and x.component <> y.component and x.doc_id < y.doc_id and least(x.total, y.total) >= {threshold} * greatest(x.total, y.total)"))
-        .select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
-        .distinct()
-        .join(first, ["a", "b"], "left_anti")
-    )
-    more = C.materialize(verify(C.materialize(second, "second"), sketches, threshold), "more")
-    every = links.unionByName(more).unionByName(copies.select(F.col("same_as").alias("a"), F.col("doc_id").alias("b")))
+    # the document that meets most others is the likeliest origin of a group of copies: besides the least, it is compared with its buckets' documents
+    scores = C.materialize(hits.groupBy("doc_id").agg(F.sum("n").alias("score")), "scores", False)
+    origins = C.materialize(hits.filter("n > 2").join(scores, "doc_id").groupBy("bucket").agg(F.max(F.struct("score", "doc_id")).alias("o")).select("bucket", F.col("o.doc_id").alias("origin")), "origins", False)
+    pair = lambda p: F.struct(F.least(p, "doc_id").alias("a"), F.greatest(p, "doc_id").alias("b"))
+    star = hits.select(pair("head").alias("p")).unionByName(hits.join(origins, "bucket").select(pair("origin").alias("p")))
+    tried = C.materialize(star.select("p.a", "p.b").filter("a <> b").distinct(), "pairs", False)
+    links = C.materialize(verify(tried, sketches, threshold), "links")
+    n = min(64, rows * bands)
+    agree = f"bit_count({(1 << n) - 1 if n < 64 else -1}L & ~(x.c0 ^ y.c0) & ~(x.c1 ^ y.c1) & ~(x.c2 ^ y.c2)) >= {least_agreement(threshold, n)}"
+    alike = f"x.component <> y.component and least(x.total, y.total) >= {threshold} * greatest(x.total, y.total) and {agree}"
+    for round_ in range(ROUNDS):
+        parts = C.materialize(components(links), "parts", False)
+        placed = hits.select("bucket", *light).join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+        placed = C.materialize(placed, "placed", False)
+        pivot = F.max(F.struct(F.xxhash64("doc_id", F.lit(round_)), *light, "component"))
+        mixed = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), pivot.alias("pivot")).filter("lo < hi").select("bucket", "pivot")
+        mixed = C.materialize(mixed, "mixed", False)
+        rest = C.materialize(placed.join(mixed.select("bucket"), "bucket"), "rest", False)
+        if round_ < ROUNDS - 1:  # against one more document of each bucket
+            more = mixed.select("bucket", "pivot.*").alias("x").join(rest.alias("y"), F.expr(f"x.bucket = y.bucket and {alike}")).select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b"))
+        else:  # all pairs that are left
+            more = rest.alias("x").join(rest.alias("y"), F.expr(f"x.bucket = y.bucket and x.doc_id < y.doc_id and {alike}")).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
+        more = C.materialize(more.distinct().join(tried, ["a", "b"], "left_anti"), "more", False)
+        links = C.materialize(links.unionByName(verify(more, sketches, threshold)), "links")
+        tried = C.materialize(tried.unionByName(more), "tried", False)
+    every = links.unionByName(copies.select(F.col("same_as").alias("a"), F.col("doc_id").alias("b")))
     groups = C.materialize(components(every), "groups")
     ids = docs.select(F.coalesce("doc_id", F.lit(C.LEAST_LONG)).alias("node")).distinct()
     back = lambda c: F.nullif(c, F.lit(C.LEAST_LONG))
