@@ -58,7 +58,7 @@ def min_max(x: np.ndarray, least: float = 1e-6) -> np.ndarray:
 def spectral_saliency(rgb: np.ndarray) -> np.ndarray:
     """Spectral residual: what remains of the log amplitude after its local mean, transformed back, smoothed and scaled."""
     small = resize(gray(rgb), 64, 64, "area")
-    if float(small.max() - small.min()) <= 1e-6:
+    if float(small.max() - small.min()) <= 1e-3:  # of 255; resizing a flat picture leaves rounding errors
         return np.zeros(rgb.shape[:2], np.float32)
     f = np.fft.fft2(small)
     amplitude = np.log(np.abs(f) + 1e-8).astype(np.float32)

@@ -55,6 +55,11 @@ def decode_raster(payload: bytes, height: int, width: int) -> np.ndarray:
     return tiles.paint(*(t[c].astype(np.int64) for c in "xywh"), np.stack([t[k] for k in "rgb"], axis=1), height, width)
 
 
+def _nullable(rows: list[dict], columns: list[str]) -> pd.DataFrame:
+    """Rows whose missing values stay null instead of turning whole numbers into fractions."""
+    return pd.DataFrame({c: pd.Series([r.get(c) for r in rows], dtype=object) for c in columns})
+
+
 def _raster(row, column: str) -> np.ndarray:
     return np.frombuffer(getattr(row, column), np.uint8).reshape(row.height, row.width, 3)
 
@@ -73,7 +78,7 @@ def compress_images(images: DataFrame, config: PipelineConfig = PipelineConfig()
                     out.append({"name": name} | compress_raster(_raster(row, "data"), config, user))
                 except Exception as e:  # noqa: BLE001  one bad image must not end the batch
                     out.append({"name": name, "error": f"{type(e).__name__}: {e}"})
-            yield pd.DataFrame(out, columns=COLUMNS)
+            yield _nullable(out, COLUMNS)
 
     images.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8")
     columns = ["path", "height", "width", "data"] + ["mask", "mask_height", "mask_width"] * masked
@@ -122,6 +127,6 @@ def verify_images(entries: DataFrame, originals: DataFrame, config: PipelineConf
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame([one(r) for r in pdf.itertuples(index=False)], columns=names)
+            yield _nullable([one(r) for r in pdf.itertuples(index=False)], names)
 
     return both.mapInPandas(run, VERIFY)
