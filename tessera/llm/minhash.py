@@ -120,7 +120,7 @@ def sketch(docs: DataFrame, k: int = 5, rows: int = ROWS, bands: int = BANDS, sl
     p = max(6, int(size / 6 / BUCKET_SHINGLES).bit_length())
     top, low = np.uint64(64 - p), np.uint64(32 - p)
 
-    hashed = docs.filter(F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(7), "text").alias("h2"))
+    hashed = docs.filter(F.col("text").rlike(r"[^\x20\x09-\x0D]")).select("doc_id", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(7), "text").alias("h2"))
     heads = C.materialize(hashed.groupBy("h1", "h2").agg(F.min("doc_id").alias("same_as"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "equal", False)
     copies = C.materialize(hashed.join(heads, ["h1", "h2"]).filter("doc_id <> same_as").groupBy("doc_id").agg(F.min("same_as").alias("same_as")), "copies", False)
     skipped = copies.select("doc_id", C.at_position(bounds, F.col("doc_id")).alias("slice")).groupBy("slice").agg(F.collect_list("doc_id").alias("skip"))
@@ -225,7 +225,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8, rows: i
     """Groups documents whose TF-IDF weighted shingle sets have a weighted Jaccard similarity of `threshold` or more.
 
     Returns one row per distinct doc_id: doc_id, component_id (the least doc_id of its group of linked documents, itself included) and
-    kept (whether it is that document). Equal texts are linked, null and empty texts are not (each is kept); a text of fewer than k words
+    kept (whether it is that document). Equal texts are linked, null texts and those without words are not (each is kept); a text of fewer than k words
     is one shingle. Rows that share a doc_id are one document, described by the first of their texts; a null doc_id is returned as null.
     Other columns are ignored.
     """

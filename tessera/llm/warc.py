@@ -62,7 +62,7 @@ def parse_record(data: bytes, at: int) -> tuple[dict, bytes, int] | None:
     if not _VERSION.match(data, at):
         return None
     end = data.find(b"\r\n\r\n", at)
-    if end < 0:
+    if end < 0 or _VERSION.search(data, at + 1, end):  # the header was cut and another record follows
         return None
     header = {}
     for line in data[at:end].split(b"\r\n")[1:]:
