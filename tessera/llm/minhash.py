@@ -6,7 +6,7 @@
    weight, and the weights of the shingles that other documents have too. Of equal texts one is sketched.
 3. Of each band's bucket every document is verified by weighted Jaccard similarity against the least one and against the one that meets most others;
    components of these links are formed. Where documents of one bucket are in different components after that, they are verified against one more and then all pairs are, if enough of all their
-   samples agree (as they do, but for one pair in ten thousand, at the threshold); pairs inside a component can't change it. So a group of copies costs a few pairs
+   samples agree (as they do, but for one pair in ten thousand, at the threshold) and parities of their shingles allow a link; pairs inside a component can't change it. So a group of copies costs a few pairs
    for each of its documents, and documents that only share a passage make hardly any.
 """
 
@@ -33,6 +33,9 @@ BUCKET_SHINGLES = 2_000_000
 ROUNDS = 2
 #: Deviations by which a pair's agreeing samples may fall short of what the threshold makes expect before it is passed over.
 DEVIATIONS = 4.0
+#: 64-bit words of a text's shingle parities.
+PARITY = 16
+PARITIES = [f"d{i}" for i in range(PARITY)]
 
 
 def shingles(data, offsets, k: int):
@@ -112,7 +115,7 @@ def similarity(keys_a, weights_a, total_a, keys_b, weights_b, total_b) -> float:
 
 
 def sketch(docs: DataFrame, k: int = 5, rows: int = ROWS, bands: int = BANDS, slice_bytes: int = 6 << 20) -> tuple[DataFrame, DataFrame]:
-    """Sketches (doc_id, total, bands, c0 .. c2: three bits of each sample, keys, weights) of one document of each group of equal texts, and the others (doc_id, same_as)."""
+    """Sketches (doc_id, total, bands, c0 .. c2: three bits of each sample, keys, weights, d0 ..: see difference()) of one document of each group of equal texts, and the others (doc_id, same_as)."""
     C.configure(docs.sparkSession)
     docs = docs.select(F.coalesce("doc_id", F.lit(C.LEAST_LONG)).alias("doc_id"), "text")
     bounds, n, size = C.slice_bounds(docs, slice_bytes)
@@ -173,7 +176,7 @@ def sketch(docs: DataFrame, k: int = 5, rows: int = ROWS, bands: int = BANDS, sl
             where = a + np.flatnonzero(np.unpackbits(np.frombuffer(shared, np.uint8), count=z - a))
             df[where] = np.frombuffer(frequency, np.uint8).reshape(4, -1).T.copy().view("<u4").ravel()
         doc_ids = t.column("doc_id").to_pylist()
-        out: list[list] = [[] for _ in range(8)]
+        out: list[list] = [[] for _ in range(8 + PARITY)]
         seen = set()
         for i, j, of, value, count, at in slice_shingles(t):
             live = np.array([d not in skip for d in doc_ids[i:j]])
@@ -186,6 +189,7 @@ def sketch(docs: DataFrame, k: int = 5, rows: int = ROWS, bands: int = BANDS, sl
             band = np.stack([C.mix(sum(codes[:, b * rows + q] * np.uint64(2 * q + 3) for q in range(rows)) + np.uint64(b)) for b in range(bands)], axis=1).view(np.int64)
             k_bits = np.uint64(1) << np.arange(min(64, rows * bands), dtype=np.uint64)
             bits = [(((codes[:, : len(k_bits)] >> np.uint64(q)) & np.uint64(1)) * k_bits).sum(axis=1).view(np.int64) for q in (7, 23, 41)]
+            parity = difference(value, of, j - i)
             total = np.add.reduceat(np.append(weight.astype(np.float64), 0.0), np.minimum(at[:-1], len(weight)))
             for d in range(j - i):
                 a, z = at[d], at[d + 1]
@@ -193,14 +197,34 @@ def sketch(docs: DataFrame, k: int = 5, rows: int = ROWS, bands: int = BANDS, sl
                     continue
                 seen.add(doc_ids[i + d])
                 common = f[a:z] > 1
-                for column, x in zip(out, (doc_ids[i + d], float(total[d]), band[d], int(bits[0][d]), int(bits[1][d]), int(bits[2][d]), value[a:z][common].tobytes(), weight[a:z][common].tobytes()), strict=True):
+                for column, x in zip(out, (doc_ids[i + d], float(total[d]), band[d], int(bits[0][d]), int(bits[1][d]), int(bits[2][d]), value[a:z][common].tobytes(), weight[a:z][common].tobytes(), *map(int, parity[d])), strict=True):
                     column.append(x)
-        return pa.table([pa.array(c, x) for c, x in zip(out, (pa.int64(), pa.float64(), pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["doc_id", "total", "bands", "c0", "c1", "c2", "keys", "weights"])
+        return pa.table([pa.array(c, x) for c, x in zip(out, (pa.int64(), pa.float64(), pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), *[pa.int64()] * PARITY), strict=True)], names=["doc_id", "total", "bands", "c0", "c1", "c2", "keys", "weights", *PARITIES])
 
-    sketches = sliced.groupBy("slice").cogroup(replies.groupBy("slice")).applyInArrow(draw, "doc_id long, total double, bands array<bigint>, c0 long, c1 long, c2 long, keys binary, weights binary")
+    sketches = sliced.groupBy("slice").cogroup(replies.groupBy("slice")).applyInArrow(draw, "doc_id long, total double, bands array<bigint>, c0 long, c1 long, c2 long, keys binary, weights binary, " + ", ".join(f"{d} long" for d in PARITIES))
     return C.materialize(sketches, "sketches"), copies
 
 
+def difference(value: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
+    """Parities of the numbers of a text's distinct shingles that fall on each of 64 * PARITY places: n texts x PARITY words.
+
+    A shingle that only one of two texts has changes one place, so the places that differ are never more than such shingles.
+    """
+    place = C.mix(value ^ np.uint64(0x5DEECE66D))
+    out = np.zeros((n, PARITY), np.uint64)
+    np.bitwise_xor.at(out, (of, ((place >> np.uint64(6)) % np.uint64(PARITY)).astype(np.int64)), np.uint64(1) << (place & np.uint64(63)))
+    return out.view(np.int64)
+
+
+def most_difference(threshold: float) -> str:
+    """That x and y differ in no more shingles than the threshold allows, as SQL; no link is lost.
+
+    The weights of the union less those both have are (1 - t) / (1 + t) of both totals at most, and no weight is below 1. A hundredth is added for rounding.
+    """
+    places = " + ".join(f"bit_count(x.d{i} ^ y.d{i})" for i in range(PARITY))
+    return f"{places} <= {1.01 * (1 - threshold) / (1 + threshold)} * (x.total + y.total)"
+
+
 def least_agreement(threshold: float, n: int) -> int:
     """Of n samples, of which three bits are compared, how many must agree."""
     p = threshold + (1 - threshold) / 8
@@ -255,7 +279,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8, rows: i
         if round_ < ROUNDS - 1:  # against one more document of each bucket
             more = mixed.select("bucket", "pivot.*").alias("x").join(rest.alias("y"), F.expr(f"x.bucket = y.bucket and {alike}")).select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b"))
         else:  # all pairs that are left
-            more = rest.alias("x").join(rest.alias("y"), F.expr(f"x.bucket = y.bucket and x.doc_id < y.doc_id and {alike}")).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
+            rest = C.materialize(rest.join(sketches.select("doc_id", *PARITIES), "doc_id"), "rest", False)
+            more = rest.alias("x").join(rest.alias("y"), F.expr(f"x.bucket = y.bucket and x.doc_id < y.doc_id and {alike} and {most_difference(threshold)}")).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
         more = C.materialize(more.distinct().join(tried, ["a", "b"], "left_anti"), "more", False)
         links = C.materialize(links.unionByName(verify(more, sketches, threshold)), "links")
         tried = C.materialize(tried.unionByName(more), "tried", False)

@@ -163,6 +163,17 @@ def test_minhash(spark):
     assert minhash.near_duplicates(frame(spark, [])).count() == 0
 
 
+def test_minhash_parities_never_exceed_the_difference():
+    rng = np.random.default_rng(11)
+    for size in (1, 5, 80, 3000):
+        shared, own = rng.integers(0, 2**64, size, dtype=np.uint64), rng.integers(0, 2**64, size // 2 + 1, dtype=np.uint64)
+        value = np.concatenate([shared, shared, own])
+        of = np.repeat([0, 1, 1, 2], [size, size, len(own), 0])
+        x, y, empty = minhash.difference(value, of, 3)
+        assert 0 < sum(int(v).bit_count() for v in (x ^ y).view(np.uint64)) <= len(own)
+        assert not empty.any()
+
+
 def test_components(spark):
     rng = random.Random(8)
     edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(260)] + [(i, i + 1) for i in range(1000, 1040)]
