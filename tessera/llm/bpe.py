@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from . import common as C
 
 #: Words a worker remembers at most.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 2_000_000
 
 
 def byte_alphabet() -> dict[str, int]:

@@ -197,6 +197,69 @@ def windows(hashes: np.ndarray, k: int) -> np.ndarray:
     return mix(out + base)
 
 
+class IdCache:
+    """Token ids of the words a worker has met, by their 64-bit hashes, in sorted arrays: a piece's words are looked up at once.
+
+    New words go to a small array that is merged into the large one now and then. Beyond `most` words all are forgotten but those of the piece at hand.
+    """
+
+    def __init__(self, most: int):
+        self.most = most
+        self.clear()
+
+    def clear(self) -> None:
+        self.levels = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32))] * 2
+        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
+
+    def __len__(self) -> int:
+        return sum(len(h) for h, _, _ in self.levels)
+
+    def _append(self, ids: np.ndarray) -> None:
+        if self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat[: self.used], np.zeros(max(self.used, len(ids)), np.uint32), np.zeros(len(ids), np.uint32)])
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
+
+    def find(self, h: np.ndarray, encode) -> tuple[np.ndarray, np.ndarray]:
+        """Where in `flat` the ids of the words with distinct ascending hashes h start, and how many they are; encode(places in h) gives a list of ids for each unknown word."""
+        at, n, new = np.zeros(len(h), np.int64), np.zeros(len(h), np.int64), np.ones(len(h), bool)
+        for known, starts, sizes in self.levels:
+            if len(known):
+                i = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                hit = known[i] == h
+                at[hit], n[hit] = starts[i[hit]], sizes[i[hit]]
+                new &= ~hit
+        where = np.flatnonzero(new)
+        if len(where):
+            if len(self) + len(where) > self.most:
+                old = self.flat[gather_at(at[~new], n[~new])]
+                kept = h[~new], np.cumsum(n[~new]) - n[~new], n[~new].astype(np.int32)
+                at[~new] = kept[1]
+                self.clear()
+                self.levels[0] = kept
+                self._append(old)
+            lists = encode(where)
+            n[where] = [len(x) for x in lists]
+            at[where] = self.used + np.cumsum(n[where]) - n[where]
+            self._append(np.fromiter((i for x in lists for i in x), np.uint32, int(n[where].sum())))
+            self.levels[1] = _merged(self.levels[1], (h[where], at[where], n[where].astype(np.int32)))
+            if len(self.levels[1][0]) > max(1 << 16, len(self.levels[0][0]) // 8):
+                self.levels = [_merged(*self.levels), tuple(x[:0] for x in self.levels[1])]
+        return at, n
+
+
+def _merged(a: tuple, b: tuple) -> tuple:
+    """Columns a and b in the order of their first."""
+    place = np.searchsorted(a[0], b[0])
+    return tuple(np.insert(x, place, y) for x, y in zip(a, b, strict=True))
+
+
+def gather_at(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """starts[0] .. starts[0] + sizes[0] - 1, then those of the next, and so on."""
+    ends = np.cumsum(sizes)
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
+
+
 def to_text(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
     """The Arrow string column of data cut at offsets."""
     return pa.LargeStringArray.from_buffers(len(offsets) - 1, pa.py_buffer(np.ascontiguousarray(offsets, np.int64)), pa.py_buffer(np.ascontiguousarray(data))).cast(pa.string())

@@ -4,13 +4,14 @@ Every document's token ids (a word-level cache in front of the public tokenizer)
 dimensions; its coordinates, scaled by the corpus' means and deviations, have a Hilbert key. Documents are range-sorted by
 (key, doc_id, digest) and laid end to end; sequences are cut every `length` tokens, so only the very last one is padded.
 
-Only a small table (key, tokens) is sorted and counted first; it gives each range of the curve its bounds and its first token's place.
-Then the ids travel once, to their range.
+Texts are tokenized once, into a table in the shared folder. Of that, only small columns (key, tokens) are sorted and counted first, which gives each
+range of the curve its bounds and its first token's place. Then the ids travel once, to their range.
 """
 
 from __future__ import annotations
 
 import hashlib
+import os
 import zlib
 from functools import lru_cache
 
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
-from .bpe import CACHE_WORDS, gather
+from .bpe import CACHE_WORDS
 
 DIMS, BITS = 4, 12
 HASHED = 1024
@@ -37,28 +38,28 @@ class WordTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-        self.known: dict[bytes, np.ndarray] = {}
+        self.known = C.IdCache(CACHE_WORDS)
 
     def encode_bytes(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after another, and their n+1 offsets."""
         starts, lengths, at = C.words(data, offsets)
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
-        _, first, name = np.unique(C.segment_hashes(data, starts, lengths), return_index=True, return_inverse=True)
-        raw = data.tobytes()
-        words = [raw[a : a + k] for a, k in zip(starts[first].tolist(), lengths[first].tolist(), strict=True)]
-        missing = [w for w in words if w not in self.known]
-        if missing:
-            if len(self.known) + len(missing) > CACHE_WORDS:
-                self.known = {w: self.known[w] for w in words if w in self.known}
-            got = self.tokenizer.encode_batch_fast([w.decode() for w in missing], add_special_tokens=False)
-            self.known |= {w: np.array(e.ids, np.uint32) for w, e in zip(missing, got, strict=True)}
-        flat, ends = gather([self.known[w] for w in words], name)
-        return flat, ends[at]
+        distinct, first, name = np.unique(C.segment_hashes(data, starts, lengths), return_index=True, return_inverse=True)
+
+        def encode(places):
+            raw, begin = data.tobytes(), first[places]
+            found = self.tokenizer.encode_batch_fast([raw[a : a + k].decode() for a, k in zip(starts[begin].tolist(), lengths[begin].tolist(), strict=True)], add_special_tokens=False)
+            return [e.ids for e in found]
+
+        begins, sizes = self.known.find(distinct, encode)
+        n = sizes[name]
+        return self.known.flat[C.gather_at(begins[name], n)], np.concatenate([[0], np.cumsum(n)])[at]
 
 
 @lru_cache(maxsize=4)
 def load(path: str) -> WordTokenizer:
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     return WordTokenizer(path)
 
 
@@ -149,10 +150,15 @@ def pack(docs: DataFrame, vocabulary: str, length: int = 4096, end_id: int = 2,
         for b in batches:
             for i, j, ids, at, data, offsets in _tokens(b, tokenizer, end_id):
                 v = vectors(ids, at)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(_doc_digest(data, offsets, i, j)), pa.array(np.diff(at)), *(pa.array(v[:, d]) for d in range(DIMS))], ["doc_id", "digest", "n", *(f"v{d}" for d in range(DIMS))])
-
-    small = C.materialize(docs.mapInArrow(measure, "doc_id long, digest long, n long, " + ", ".join(f"v{d} double" for d in range(DIMS))), "pack-sizes", False)
-    stats = small.agg(F.sum("n").alias("n"), *(F.avg(f"v{d}").alias(f"m{d}") for d in range(DIMS)), *(F.stddev_pop(f"v{d}").alias(f"s{d}") for d in range(DIMS))).first()
+                wire = ids.astype("<u2") if ids.max(initial=0) < 1 << 16 else ids.astype("<u4")
+                blobs = pa.array([wire[a:z].tobytes() for a, z in zip(at[:-1], at[1:], strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(_doc_digest(data, offsets, i, j)), pa.array(np.diff(at)), *(pa.array(v[:, d]) for d in range(DIMS)), pa.array(np.full(j - i, wire.itemsize, np.int32)), blobs], names)
+
+    axes = [f"v{d}" for d in range(DIMS)]
+    names = ["doc_id", "digest", "n", *axes, "width", "ids"]
+    whole = C.materialize(docs.mapInArrow(measure, "doc_id long, digest long, n long, " + ", ".join(f"{v} double" for v in axes) + ", width int, ids binary"), "pack-ids", False)
+    small = whole.select("doc_id", "digest", "n", *axes)
+    stats = small.agg(F.sum("n").alias("n"), *(F.avg(v).alias(f"m{d}") for d, v in enumerate(axes)), *(F.stddev_pop(v).alias(f"s{d}") for d, v in enumerate(axes))).first()
     total = int(stats["n"] or 0)
     mean = np.array([stats[f"m{d}"] or 0.0 for d in range(DIMS)])
     spread = np.array([stats[f"s{d}"] or 1.0 for d in range(DIMS)])
@@ -168,19 +174,14 @@ def pack(docs: DataFrame, vocabulary: str, length: int = 4096, end_id: int = 2,
     parts = placed.repartitionByRange(ranges, *order).groupBy(F.spark_partition_id().alias("p")).agg(F.sum("n").alias("n"), F.min(F.struct(*order)).alias("low"))
     bounds = sorted((tuple(r["low"]), r["n"]) for r in parts.collect())  # one row for each range
     lows = [b[0] for b in bounds]
-    low_key, low_id, low_digest = (np.array([b[i] for b in lows], np.int64) for i in range(3))
     base = np.concatenate([[0], np.cumsum([b[1] for b in bounds])]).astype(np.int64)
 
     def send(batches):
-        tokenizer = load(vocabulary)
         for b in batches:
-            for i, j, ids, at, data, offsets in _tokens(b, tokenizer, end_id):
-                key, digest = keys(vectors(ids, at), mean, spread), _doc_digest(data, offsets, i, j)
-                known = b.column(0).slice(i, j - i)
-                of = known.fill_null(C.LEAST_LONG).to_numpy()
-                where = np.array([_range(lows, t) for t in zip(key.tolist(), of.tolist(), digest.tolist(), strict=True)], np.int32)
-                wire = ids.astype("<u2") if ids.max(initial=0) < 1 << 16 else ids.astype("<u4")
-                yield pa.RecordBatch.from_arrays([pa.array(where), pa.array(key), pa.array(digest), known, pa.array(np.full(j - i, wire.itemsize, np.int32)), pa.array([wire[a:z].tobytes() for a, z in zip(at[:-1], at[1:], strict=True)], pa.binary())], ["range", "key", "digest", "doc_id", "width", "ids"])
+            v = np.stack([b.column(3 + d).to_numpy() for d in range(DIMS)], axis=1)
+            key, of = keys(v, mean, spread), b.column(0).fill_null(C.LEAST_LONG).to_numpy()
+            where = np.array([_range(lows, t) for t in zip(key.tolist(), of.tolist(), b.column(1).to_pylist(), strict=True)], np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(where), pa.array(key), b.column(1), b.column(0), b.column(3 + DIMS), b.column(4 + DIMS)], ["range", "key", "digest", "doc_id", "width", "ids"])
 
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + (", ids binary" if carry_ids else "")
 
@@ -200,7 +201,7 @@ def pack(docs: DataFrame, vocabulary: str, length: int = 4096, end_id: int = 2,
         columns = list(zip(*rows, strict=True)) if rows else [[]] * 8
         return pa.table([pa.array(c, pa.int64()) for c in columns[:7]] + ([pa.array(columns[7], pa.binary())] if carry_ids else []), names=names + ["ids"] * carry_ids)
 
-    return docs.mapInArrow(send, "range int, key long, digest long, doc_id long, width int, ids binary").groupBy("range").applyInArrow(lay, schema)
+    return whole.mapInArrow(send, "range int, key long, digest long, doc_id long, width int, ids binary").groupBy("range").applyInArrow(lay, schema)
 
 
 def _range(lows: list[tuple], t: tuple) -> int:
