@@ -63,8 +63,8 @@ class TrieBpe:
         self.token_starts = np.concatenate([[0], np.cumsum(self.token_sizes)])
         self.token_data = np.frombuffer(b"".join(token_bytes), np.uint8)
         self.splitter = Tokenizer.from_file(path).pre_tokenizer
-        self.pairs: dict[tuple[int, int], bool] = {}
-        self.known: dict[bytes, np.ndarray] = {}
+        self.pairs: dict[int, bool] = {}
+        self.known = C.IdCache(CACHE_WORDS)
         self.slow = re.compile(b"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80|[\x1c-\x1f]" + b"".join(b"|" + re.escape(s.encode()) for s in self.special))
         self.cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
 
@@ -76,7 +76,7 @@ class TrieBpe:
         No merge across the border may come before the merges that build a and b: merges are undone from the latest on, and at
         each step the two tokens at the border must not merge earlier than the token that was undone last.
         """
-        known = self.pairs.get((a, b))
+        known = self.pairs.get(a << 32 | b)
         if known is not None:
             return known
         left, right, limit, ok = a, b, 1 << 60, True
@@ -94,7 +94,7 @@ class TrieBpe:
                 limit, right = rr + 1, self.parts[right][0]
         if len(self.pairs) > 2_000_000:
             self.pairs.clear()
-        self.pairs[a, b] = ok
+        self.pairs[a << 32 | b] = ok
         return ok
 
     def encode_words(self, distinct: list[bytes]) -> dict[bytes, list[int]]:
@@ -125,21 +125,16 @@ class TrieBpe:
             before = word
         return out
 
-    def _chunk_ids(self, chunks: list[bytes]) -> list[np.ndarray]:
+    def _chunk_ids(self, chunks: list[bytes]) -> list[list[int]]:
         """Ids of chunks (an optional space and what is up to the next white space, or white space)."""
-        missing = [c for c in chunks if c not in self.known]
-        if missing:
-            split = {}
-            for c in missing:
-                if c.isascii() and (c[1:] if c[:1] == b" " else c).isalpha():
-                    split[c] = [c]
-                else:
-                    split[c] = [bytes(_ALPHABET[x] for x in p) for p, _ in self.splitter.pre_tokenize_str(c.decode())]
-            encoded = self.encode_words(list({w for ws in split.values() for w in ws}))
-            if len(self.known) + len(missing) > CACHE_WORDS:
-                self.known = {c: self.known[c] for c in chunks if c in self.known}
-            self.known |= {c: np.array([i for w in ws for i in encoded[w]], np.uint32) for c, ws in split.items()}
-        return [self.known[c] for c in chunks]
+        split = []
+        for c in chunks:
+            if c.isascii() and (c[1:] if c[:1] == b" " else c).isalpha():
+                split.append([c])
+            else:
+                split.append([bytes(_ALPHABET[x] for x in p) for p, _ in self.splitter.pre_tokenize_str(c.decode())])
+        encoded = self.encode_words(list({w for ws in split for w in ws}))
+        return [encoded[ws[0]] if len(ws) == 1 else [i for w in ws for i in encoded[w]] for ws in split]
 
     # ---- texts -----------------------------------------------------------------------------------
 
@@ -190,14 +185,17 @@ class TrieBpe:
                 more.append(np.array(found, np.int64))
             starts = np.sort(np.concatenate(more))
         lengths = np.diff(starts, append=len(data))
-        _, first, name = np.unique(C.segment_hashes(data, starts, lengths), return_index=True, return_inverse=True)
-        ids = self._chunk_ids([raw[a : a + k] for a, k in zip(starts[first].tolist(), lengths[first].tolist(), strict=True)])
+        distinct, first, name = np.unique(C.segment_hashes(data, starts, lengths), return_index=True, return_inverse=True)
+        encode = lambda places: self._chunk_ids([raw[a : a + k] for a, k in zip(starts[first[places]].tolist(), lengths[first[places]].tolist(), strict=True)])
+        begins, sizes = self.known.find(distinct, encode)
+        n, flat_at = sizes[name], begins[name]
         if special:
             marks = np.searchsorted(starts, list(special))
-            ids += [np.array([special[a]], np.uint32) for a in special]
-            name = name.copy()
-            name[marks] = np.arange(len(ids) - len(special), len(ids))
-        flat, at = gather(ids, name)
+            n[marks] = 1
+        at = np.concatenate([[0], np.cumsum(n)])
+        flat = self.known.flat[C.gather_at(flat_at, n)]
+        if special:
+            flat[at[marks]] = list(special.values())
         return flat, at[np.searchsorted(starts, offsets)]
 
     def decode_ids(self, ids: np.ndarray, offsets: np.ndarray) -> list[bytes]:
@@ -209,16 +207,6 @@ class TrieBpe:
         return [out[a:b].decode("utf-8", "replace").encode() for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
-def gather(values: list[np.ndarray], name: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """values[name[0]], values[name[1]], ... as one array, and the len(name)+1 offsets."""
-    sizes = np.array([len(v) for v in values], np.int64)
-    begins = np.concatenate([[0], np.cumsum(sizes)])[:-1]
-    flat = np.concatenate(values) if values else np.zeros(0, np.uint32)
-    n = sizes[name]
-    at = np.concatenate([[0], np.cumsum(n)])
-    return flat[np.repeat(begins[name] - at[:-1], n) + np.arange(at[-1])], at
-
-
 _ALPHABET = byte_alphabet()
 
 
