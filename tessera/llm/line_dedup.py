@@ -14,6 +14,8 @@ from . import common as C
 
 #: Edit distance of near-equal lines, and the length below which lines are only compared for equality.
 DISTANCE, LEAST_LENGTH = 2, 32
+#: Keys (8 bytes each) that are sent to all executors; more are joined by a shuffle.
+BROADCAST_KEYS = 500_000
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -31,38 +33,41 @@ def distinct_lines(docs: DataFrame) -> DataFrame:
     )
 
 
-def _segment(length: Column, i: int, t: int) -> tuple[Column, Column]:
+def _segment(length: Column, i: Column, t: int) -> tuple[Column, Column]:
     """Start (from 1) and length of segment i (from 0) of t+1 that cut a line of the given length evenly, the longer ones last."""
-    short, longer = F.floor(length / (t + 1)).cast("int"), (length % (t + 1)).cast("int")
-    from_longer = F.greatest(F.lit(0), F.lit(i) - (F.lit(t + 1) - longer))
-    return F.lit(i) * short + from_longer + 1, short + F.when(F.lit(i) >= F.lit(t + 1) - longer, 1).otherwise(0)
+    rest = F.pmod(length, F.lit(t + 1))
+    short = ((length - rest) / (t + 1)).cast("int")
+    longer_before = F.greatest(F.lit(0), i + rest - (t + 1))
+    return i * short + longer_before + 1, short + F.when(i + rest >= t + 1, 1).otherwise(0)
 
 
-def _index(t: int) -> Column:
-    """Keys of the segments of `line` under its length `n`."""
-    out = []
-    for i in range(t + 1):
-        start, size = _segment(F.col("n"), i, t)
-        out.append(F.xxhash64(F.col("n"), F.lit(i), F.substring(F.col("line"), start, size)))
-    return F.array(*out)
+def _keyed(lines: DataFrame, places: list[tuple[int, int, int]], t: int, name: str) -> DataFrame:
+    """(name, key): h1 of lines (h1, line, n) and, for each place (d, i, shift), the key of segment i of a line shorter by d characters, shifted; none where a short line has no such place.
+
+    Places are exploded before keys are computed, which keeps the compiled code small.
+    """
+    d, i, shift = (F.col(f"p.{x}") for x in ("d", "i", "shift"))
+    all_places = F.array(*[F.struct(*[F.lit(v).alias(x) for x, v in zip(("d", "i", "shift"), p, strict=True)]) for p in places])
+    start, size = _segment(F.col("n") - d, i, t)
+    at = start + shift
+    inside = (at >= 1) & (at + size - 1 <= F.col("n")) & (size > 0)
+    key = F.xxhash64(F.col("n") - d, i, F.substring(F.col("line"), at, size))
+    return lines.select("h1", "line", "n", F.explode(all_places).alias("p")).filter(inside).select(F.col("h1").alias(name), key.alias("key"))
+
+
+def _index(lines: DataFrame, t: int) -> DataFrame:
+    """(x, key): the segments of each line under its own length."""
+    return _keyed(lines, [(0, i, 0) for i in range(t + 1)], t, "x")
 
 
-def _probes(t: int) -> Column:
-    """Keys of the substrings of `line` that can be segment i of a line shorter by d characters, for d from 0 to t.
+def _probes(lines: DataFrame, t: int) -> DataFrame:
+    """(y, key): the substrings of each line that can be segment i of a line shorter by d characters, for d from 0 to t.
 
     With i segments before and t-i after it, an alignment shifts the segment by at most i to either side as seen from the left, and by at most t-i as seen
     from the right, where the line has d characters more.
     """
-    out = []
-    for d in range(t + 1):
-        n = F.col("n") - d
-        for i in range(t + 1):
-            start, size = _segment(n, i, t)
-            for shift in range(max(-i, d - (t - i)), min(i, d + (t - i)) + 1):
-                at = start + shift
-                key = F.xxhash64(n, F.lit(i), F.substring(F.col("line"), at, size))
-                out.append(F.when((at >= 1) & (at + size - 1 <= F.col("n")) & (size > 0), key))
-    return F.array_distinct(F.array_compact(F.array(*out)))
+    places = [(d, i, shift) for d in range(t + 1) for i in range(t + 1) for shift in range(max(-i, d - (t - i)), min(i, d + (t - i)) + 1)]
+    return _keyed(lines, places, t, "y")
 
 
 def _common(a: Column, b: Column, most: Column, suffix: bool) -> Column:
@@ -137,12 +142,12 @@ def near_pairs(lines: DataFrame, t: int = DISTANCE, least_length: int = LEAST_LE
     pairs whose signatures are near enough are made: variants of one line that share a segment but differ elsewhere make none.
     """
     long = lines.withColumn("n", F.char_length("line")).filter(F.col("n") >= least_length)
-    index = long.select(F.col("h1").alias("x"), F.explode(_index(t)).alias("key"))
-    probe = long.select(F.col("h1").alias("y"), F.explode(_probes(t)).alias("key"))
+    index, probe = _index(long, t), _probes(long, t)
     ranges = index.groupBy("key").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
     asking = C.materialize(probe.join(ranges, "key").filter("lo <> y or hi <> y").select("key", "y"), "line-probes")
     keys = C.materialize(asking.select("key").distinct(), "line-keys", False)
-    asked = C.materialize(index.join(keys, "key").select("key", "x"), "line-index")
+    few = F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+    asked = C.materialize(index.join(few, "key").select("key", "x"), "line-index")
     ids = asked.select(F.col("x").alias("h1")).unionByName(asking.select(F.col("y").alias("h1"))).distinct()
     texts = C.materialize(long.join(ids, "h1").select("h1", "h2", "line", "n"), "line-texts")
     signed = C.materialize(texts.select("h1", _signature(F.filter(F.split("line", ""), lambda c: c != "")).alias("sig")), "line-signatures", False)
