@@ -7,7 +7,7 @@ import zlib
 import numpy as np
 import pytest
 
-from tessera.llm import bpe, langid, line_dedup, minhash, nn_descent, packing, sharding, suffix_dedup, tiff, warc
+from tessera.llm import bpe, common, langid, line_dedup, minhash, nn_descent, packing, sharding, suffix_dedup, tiff, warc
 from tessera.llm.graph import components
 from tessera.llm.queries import vocabulary
 
@@ -249,6 +249,17 @@ def test_bpe(spark, corpus):
     assert back == {i: t or "" for i, t in corpus}
 
 
+@pytest.mark.parametrize("most", [5, 60, 10_000])
+def test_id_cache_finds_what_was_encoded(most):
+    rng, cache = np.random.default_rng(7), common.IdCache(most)
+    ids_of = lambda h: [int(h) % 97 + i for i in range(int(h) % 4)]
+    for _ in range(30):
+        h = np.unique(rng.integers(0, 300, rng.integers(0, 50)).astype(np.uint64))
+        at, n = cache.find(h, lambda places, h=h: [ids_of(x) for x in h[places]])
+        assert [cache.flat[a : a + k].tolist() for a, k in zip(at, n, strict=True)] == [ids_of(x) for x in h]
+        assert len(cache) <= max(most, 50)  # no piece has more words
+
+
 def test_sharding(spark, corpus):
     rows = corpus + [(i, "x") for i in range(200, 3000)] + [(7, "again"), (7, "again")]
     got = sharding.shard(frame(spark, rows), (1.0,) * 9 + (3.0,)).collect()
