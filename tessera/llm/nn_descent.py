@@ -6,11 +6,14 @@
    its best.
 3. A list is saturated if even its last neighbour reaches the threshold. Such a node's list is enlarged to its whole component of threshold edges:
    the component is cut into blocks, and pairs of blocks are compared in double precision, which counts links without making pairs.
-4. A bounded set of queries is compared with all vectors; while too few of their links are found, another round is made.
+4. A bounded set of queries, drawn by the number of their links, is compared with all vectors; while those of any number find too small a share of their
+   links, another round is made. If that doesn't help, all nodes are compared in blocks, so that every link counts.
 """
 
 from __future__ import annotations
 
+import logging
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -21,10 +24,25 @@ from .graph import components
 
 NEIGHBOURS, TREES, CELL, BLOCK = 12, 8, 256, 512
 QUERIES, LEAST_RECALL, MOST_ROUNDS = 200, 0.97, 4
+#: The probability with which vectors at the threshold share a cell of some tree, and the trees made for it at most (rounds and the audit see to the rest).
+COVERAGE, MOST_TREES = 0.99, 64
+#: Nodes of a block where all are compared, and rows of it multiplied at once.
+EXACT_BLOCK, EXACT_ROWS = 4096, 512
 #: Single precision may be off by this much in a cosine; candidates within it are verified in double precision.
 SLACK = 1e-4
 
 
+_log = logging.getLogger(__name__)
+
+
+def trees_for(bits: int, threshold: float, least: int = TREES) -> int:
+    """Trees of `bits` hyperplanes so that two vectors at the threshold share a cell of one with probability COVERAGE."""
+    same = (1 - np.arccos(np.clip(threshold, -1, 1)) / np.pi) ** bits
+    if same >= COVERAGE:
+        return least
+    return max(least, int(min(MOST_TREES, np.ceil(np.log1p(-COVERAGE) / np.log1p(-same))))) if same > 0 else max(least, MOST_TREES)
+
+
 def _blobs(column, dtype) -> np.ndarray:
     """Equally long binary values as a matrix."""
     rows = column.to_pylist()
@@ -114,6 +132,7 @@ def link_vectors(vectors: DataFrame, threshold: float = 0.95, key: str = "vec_id
     equal = C.materialize(members.join(equal, "unit").select("id", "node"), "equal", False) if equal.head(1) else spark.createDataFrame([], "id long, node long")
     n = nodes.count()
     bits = max(0, int(np.ceil(np.log2(max(1, n / CELL)))))
+    trees = trees_for(bits, threshold, trees)
 
     def deal(batches):
         planes: dict[int, np.ndarray] = {}
@@ -140,12 +159,15 @@ def link_vectors(vectors: DataFrame, threshold: float = 0.95, key: str = "vec_id
         near = graph.select(F.col("a").alias("hub"), F.col("b").alias("id")).unionByName(graph.select(F.col("b").alias("hub"), F.col("a").alias("id"))).distinct()
         joined = C.materialize(near, "near", False).join(single, "id").select("hub", "id", "unit").repartition(parts, "hub").sortWithinPartitions("hub", F.xxhash64("id", F.lit(round_))).select("hub", "id", "unit")
 
-        found = C.materialize(joined.mapInArrow(lambda b: _compare(_to_single(b), 1, BLOCK, 4, threshold), "a long, b long, s float").groupBy("a", "b").agg(F.max("s").alias("s")), "round")
+        found = C.materialize(joined.mapInArrow(lambda b: _compare(_to_single(b), 1, BLOCK, k, threshold), "a long, b long, s float").groupBy("a", "b").agg(F.max("s").alias("s")), "round")
         links = C.materialize(links.unionByName(found.filter(F.col("s") >= threshold - SLACK).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))).distinct(), "links", False)
         graph = C.materialize(_top(graph.select("a", "b", "s").unionByName(found), k), "graph")
         result = C.materialize(_count(nodes, graph, links, threshold, k), "counts")
         if audit_recall(nodes, result, threshold) >= LEAST_RECALL:
             break
+    else:
+        _log.warning("too few links found after %d rounds: all %d vectors are compared", MOST_ROUNDS, n)
+        result = C.materialize(compare_all(nodes, n, threshold), "counts")
 
     ids = vectors.select(F.col(key).alias("id")).distinct()
     base = members.select("id").join(equal, "id", "left").select("id", F.coalesce("node", "id").alias("node"))
@@ -203,14 +225,73 @@ def _count(nodes: DataFrame, graph: DataFrame, links: DataFrame, threshold: floa
     return nodes.select("node", "copies").join(parts, "node", "left").join(counts, "node", "left").select("node", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("links"), F.coalesce("component", "node").alias("component"))
 
 
-def audit_recall(nodes: DataFrame, result: DataFrame, threshold: float, queries: int = QUERIES) -> float:
-    """Of the links that a bounded set of nodes has by comparison with all, the share that was found. Half the queries are nodes with links, if there are any."""
+def _forest(near: np.ndarray) -> list[tuple[int, int]]:
+    """Edges (place, place) that connect what the matrix `near` connects; places of columns follow those of rows."""
+    rows, columns = near.any(axis=1), near.any(axis=0)
+    edges = []
+    for root in np.flatnonzero(rows).tolist():
+        if not rows[root]:
+            continue
+        rows[root], now = False, np.array([root])
+        while len(now):
+            new = np.flatnonzero(near[now].any(axis=0) & columns)
+            columns[new] = False
+            edges += [(root, len(near) + c) for c in new.tolist()]
+            now = np.flatnonzero(near[:, new].any(axis=1) & rows)
+            rows[now] = False
+            edges += [(root, r) for r in now.tolist()]
+    return edges
+
+
+def compare_all(nodes: DataFrame, n: int, threshold: float) -> DataFrame:
+    """(node, links, component) as _count() has them, by comparison of all nodes in blocks; a pair of blocks returns counts and a spanning forest, not its links."""
+    blocks = max(1, -(-n // EXACT_BLOCK))
+    block = nodes.select("node", "copies", "unit", F.pmod(F.xxhash64("node", F.lit("all")), F.lit(blocks)).cast("int").alias("block"), F.octet_length("unit").alias("size"))
+    dealt = block.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("size", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "unit", "copies")
+
+    def block_pair(key, t):
+        i, j = key[1].as_py(), key[2].as_py()
+        x, of = _blobs(t.column("unit"), np.float64), t.column("block").to_numpy()
+        node, copies = t.column("node").to_numpy(), t.column("copies").to_numpy()
+        a, b = np.flatnonzero(of == i), np.flatnonzero(of == j)
+        count, pairs = np.zeros(len(node), np.int64), []
+        for at in range(0, len(a), EXACT_ROWS):
+            part = a[at : at + EXACT_ROWS]
+            near = (x[part] @ x[b].T >= threshold) & (node[part][:, None] != node[b][None, :])
+            if not near.any():
+                continue
+            count[part] += near @ copies[b]
+            if i != j:
+                count[b] += near.T @ copies[part]
+            place = np.concatenate([part, b])
+            pairs += [(place[u], place[v]) for u, v in _forest(near)]
+        linked = np.flatnonzero(count)
+        u, v = (np.array([p[c] for p in pairs], np.int64) for c in (0, 1))
+        blank = pa.nulls(len(linked), pa.int64())
+        counted = pa.table({"node": node[linked], "n": pa.array(count[linked]), "b": blank})
+        return pa.concat_tables([counted, pa.table({"node": node[u], "n": pa.nulls(len(u), pa.int64()), "b": node[v]})])
+
+    found = C.materialize(dealt.groupBy("size", "i", "j").applyInArrow(block_pair, "node long, n long, b long"), "all-links")
+    parts = components(found.filter("b is not null").select(F.col("node").alias("a"), "b"))
+    counts = found.filter("n is not null").groupBy("node").agg(F.sum("n").alias("n"))
+    return nodes.select("node", "copies").join(parts, "node", "left").join(counts, "node", "left").select("node", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("links"), F.coalesce("component", "node").alias("component"))
+
+
+def audit_by_size(nodes: DataFrame, result: DataFrame, threshold: float, queries: int = QUERIES, k: int = NEIGHBOURS) -> dict[str, tuple[int, float]]:
+    """Queries and mean share of a query's links that was found, by the number of its true links: "1", "2 .. k" and "more"; for those without a query there is no entry.
+
+    A bounded set of nodes is compared with all. Half of them are drawn from all nodes, which finds links that were lost altogether; the others evenly from nodes
+    with one link, with up to k and with more, so that a large group doesn't stand for pairs. Links to copies of the query's own vector are left out.
+    """
     order = F.xxhash64("node", F.lit("audit"))
-    some = nodes.orderBy(order).limit(queries // 2).select("node", "unit")
-    linked = nodes.join(result.filter("links > 0").select("node"), "node").orderBy(order).limit(queries // 2).select("node", "unit")
-    asked = {r["node"]: r["unit"] for r in some.unionByName(linked).collect()}
+    drawn = nodes.orderBy(order).limit(queries // 2).select("node", "unit")
+    n_found = F.col("links") - F.col("copies") + 1
+    linked = nodes.join(result.select("node", "links"), "node").withColumn("n_found", n_found)
+    for few in ("n_found = 1", f"n_found between 2 and {k}", f"n_found > {k}"):
+        drawn = drawn.unionByName(linked.filter(few).orderBy(order).limit(queries // 6).select("node", "unit"))
+    asked = {r["node"]: r["unit"] for r in drawn.collect()}
     if not asked:
-        return 1.0
+        return {}
     shared = nodes.sparkSession.sparkContext.broadcast(asked)
 
     def count(batches):
@@ -230,5 +311,14 @@ def audit_recall(nodes: DataFrame, result: DataFrame, threshold: float, queries:
         yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total)], ["node", "n"])
 
     truth = nodes.select("node", "unit", "copies").mapInArrow(count, "node long, n long").groupBy("node").agg(F.sum("n").alias("n"))
-    r = truth.join(result, "node").join(nodes.select("node", "copies"), "node").agg(F.sum("n").alias("n"), F.sum(F.least(F.col("links") - F.col("copies") + 1, F.col("n"))).alias("found")).first()
-    return 1.0 if not r["n"] else (r["found"] or 0) / r["n"]
+    share = F.least(n_found, F.col("n")) / F.col("n")
+    sizes = F.when(F.col("n") == 1, "1").when(F.col("n") <= k, f"2 .. {k}").otherwise("more")
+    rows = truth.filter("n > 0").join(result, "node").join(nodes.select("node", "copies"), "node").groupBy(sizes.alias("size")).agg(F.count(F.lit(1)).alias("queries"), F.avg(share).alias("recall"))
+    return {r["size"]: (r["queries"], r["recall"]) for r in rows.collect()}
+
+
+def audit_recall(nodes: DataFrame, result: DataFrame, threshold: float, queries: int = QUERIES) -> float:
+    """The least of the recalls of audit_by_size(), 1 if no query has links."""
+    found = audit_by_size(nodes, result, threshold, queries)
+    _log.info("recall by number of links (queries, recall): %s", found)
+    return min((recall for _, recall in found.values()), default=1.0)

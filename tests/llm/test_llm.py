@@ -208,6 +208,45 @@ def test_nn_descent(spark):
     assert all(got[i].n_links == 0 and got[i].component_id == i and got[i].kept for i in range(n, len(x)))
 
 
+def test_nn_descent_audit_weighs_queries_not_links(spark):
+    rng = np.random.default_rng(1)
+    group = np.eye(1, 24)[0] + rng.normal(scale=0.01, size=(80, 24))
+    pairs = np.repeat(rng.normal(size=(20, 24)), 2, axis=0) + rng.normal(scale=0.01, size=(40, 24))
+    x = np.concatenate([group, pairs])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    nodes = spark.createDataFrame([(i, 1, bytearray(v.tobytes())) for i, v in enumerate(x)], "node long, copies long, unit binary")
+    lost = spark.createDataFrame([(i, 79 if i < 80 else 0, 0 if i < 80 else i) for i in range(120)], "node long, links long, component long")
+    assert nn_descent.audit_recall(nodes, lost, 0.95) < nn_descent.LEAST_RECALL
+    assert nn_descent.audit_by_size(nodes, lost, 0.95)["more"][1] == 1.0
+    found = spark.createDataFrame([(i, 79 if i < 80 else 1, 0 if i < 80 else i - i % 2) for i in range(120)], "node long, links long, component long")
+    assert nn_descent.audit_recall(nodes, found, 0.95) == 1.0
+
+
+def test_nn_descent_compares_all_where_too_few_links_are_found(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    x = np.concatenate([np.repeat(rng.normal(size=(60, 12)), 2, axis=0), np.repeat(rng.normal(size=(2, 12)), 30, axis=0)])
+    x = x + rng.normal(scale=0.1, size=x.shape)
+    x = np.concatenate([x, x[:3]])
+    for name, value in (("CELL", 2), ("BLOCK", 4), ("MOST_ROUNDS", 1), ("MOST_TREES", 1), ("EXACT_BLOCK", 40), ("EXACT_ROWS", 16)):
+        monkeypatch.setattr(nn_descent, name, value, raising=False)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    got = {r.vec_id: r for r in nn_descent.link_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), k=2, trees=1).collect()}
+    a = np.array(x, np.float32).astype(float)
+    a /= np.linalg.norm(a, axis=1)[:, None]
+    near = a @ a.T >= 0.95
+    np.fill_diagonal(near, False)
+    least = np.arange(len(x))
+    for _ in least:
+        least = np.minimum(least, np.where(near, least[None, :], len(x)).min(axis=1))
+    assert [(got[i].n_links, got[i].component_id, got[i].kept) for i in range(len(x))] == [(int(near[i].sum()), int(least[i]), bool(least[i] == i)) for i in range(len(x))]
+
+
+def test_nn_descent_trees_grow_with_the_cells():
+    for bits in (6, 12, 16):
+        same = (1 - np.arccos(0.95) / np.pi) ** bits
+        assert 1 - (1 - same) ** nn_descent.trees_for(bits, 0.95) >= 0.99
+
+
 @pytest.mark.parametrize("compression", [tiff.NONE, tiff.LZW, tiff.DEFLATE, tiff.PACKBITS])
 @pytest.mark.parametrize("predictor", [1, 2])
 @pytest.mark.parametrize("tile", [None, (16, 32)])
