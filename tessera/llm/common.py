@@ -59,6 +59,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def row_keys(rows: DataFrame, key: str = "_row_key") -> DataFrame:
+    """rows and a long that no two of them share, in the order of doc_id (null: the least), then text.
+
+    It is the doc_id itself unless an id repeats; then rows are sorted, numbered and written down, so that later reads agree on the numbers.
+    """
+    of = F.coalesce("doc_id", F.lit(LEAST_LONG))
+    if not rows.groupBy(of.alias("i")).count().filter("count > 1").head(1):
+        return rows.withColumn(key, of)
+    return materialize(rows.orderBy(of, "text").withColumn(key, F.monotonically_increasing_id()), "row-keys")
+
+
 def at_position(bounds: list[int], value: Column) -> Column:
     """How many of the ascending bounds are <= value, by binary search in the JVM (null: 0)."""
     if not bounds:

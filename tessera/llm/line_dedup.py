@@ -167,7 +167,7 @@ def near_pairs(lines: DataFrame, t: int = DISTANCE, least_length: int = LEAST_LE
 
 
 def kept_lines(docs: DataFrame, t: int = DISTANCE, least_length: int = LEAST_LENGTH) -> DataFrame:
-    """(id, kept, n_near): for each doc_id (null: the least) the numbers of the lines that stay, blank ones aside, and how many only a near line removes."""
+    """(id, kept, n_near): for each doc_id (null: the least), which no two rows may share, the numbers of the lines that stay, blank ones aside, and how many only a near line removes."""
     lines = C.materialize(distinct_lines(docs), "lines")
     pairs = near_pairs(lines, t, least_length)
     at = lines.select("h1", "h2", "doc_id", "line_no")
@@ -182,8 +182,9 @@ def kept_lines(docs: DataFrame, t: int = DISTANCE, least_length: int = LEAST_LEN
 
 def rewrite_lines(docs: DataFrame, t: int = DISTANCE, least_length: int = LEAST_LENGTH) -> DataFrame:
     """docs and the struct _lines: n_lines, n_removed, n_near and kept_text (null for a null text); see dedup_lines()."""
-    kept = kept_lines(docs.select("doc_id", "text"), t, least_length).select(F.col("id").alias("_id"), F.struct("kept", "n_near").alias("_kept"))
-    rows = docs.withColumn("_id", F.coalesce("doc_id", F.lit(C.LEAST_LONG))).join(kept, "_id", "left")
+    keyed = C.row_keys(docs, "_id")
+    kept = kept_lines(keyed.select(F.col("_id").alias("doc_id"), "text"), t, least_length).select(F.col("id").alias("_id"), F.struct("kept", "n_near").alias("_kept"))
+    rows = keyed.join(kept, "_id", "left")
     rows = rows.withColumn("_all", F.coalesce(F.split("text", "\n"), F.array().cast("array<string>"))).withColumn("_stay", F.coalesce("_kept.kept", F.array().cast("array<int>")))
     rows = rows.withColumn("_left", F.filter("_all", lambda x, i: (F.trim(x) == "") | F.array_contains(F.col("_stay"), i)))
     n_lines = F.size(F.filter("_all", lambda x: F.trim(x) != "")).cast("long")
@@ -193,10 +194,11 @@ def rewrite_lines(docs: DataFrame, t: int = DISTANCE, least_length: int = LEAST_
 
 
 def dedup_lines(docs: DataFrame, t: int = DISTANCE, least_length: int = LEAST_LENGTH) -> DataFrame:
-    """Keeps of every line its first occurrence (by doc_id, then place), unless a line within edit distance t occurs first before that.
+    """Keeps of every line its first occurrence (by doc_id, text, then place), unless a line within edit distance t occurs first before that.
 
     Lines of fewer than least_length characters are compared for equality only; blank lines are neither counted nor removed. Judged on the input: a line
     that is removed still removes others. Returns one row per row of docs: doc_id, n_lines, n_removed, n_near (of these, first occurrences that only a near line
-    removes), kept_text (the lines that stay, joined by newlines; a null text stays null). Rows that share a doc_id are judged as one document; other columns are ignored.
+    removes), kept_text (the lines that stay, joined by newlines; a null text stays null). Rows that share a doc_id, or have none, come
+    in the order of their texts, each with lines of its own, so all but the first of equal rows lose their lines; other columns are ignored.
     """
     return rewrite_lines(docs.select("doc_id", "text"), t, least_length).select("doc_id", "_lines.*")

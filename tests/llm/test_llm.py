@@ -134,6 +134,32 @@ def test_line_dedup(spark):
         assert got[d].kept_text == ("\n".join(kept) if t is not None else None), d
 
 
+def lines_left(rows):
+    """(doc_id, text without repeated lines) of rows (doc_id, text) by brute force, null ids first, then by text."""
+    first, out = [], []
+    for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or "")):
+        kept = []
+        for line in t.split("\n") if t is not None else []:
+            if not line.strip(" "):
+                kept.append(line)
+            elif line not in first:
+                if not any(len(line) >= 32 and len(f) >= 32 and abs(len(f) - len(line)) <= 2 and distance(f, line) <= 2 for f in first):
+                    kept.append(line)
+                first.append(line)
+        out.append((i, "\n".join(kept) if t is not None else None))
+    return out
+
+
+def test_line_dedup_of_repeated_and_null_ids(spark):
+    rng = random.Random(9)
+    line = lambda: "".join(rng.choice("abcdefgh ") for _ in range(45)) + "."
+    x = [line() for _ in range(12)]
+    near = "z" + x[0][1:]
+    rows = [(1, f"{x[0]}\n{x[1]}"), (2, f"{near}\n{x[2]}"), (2, f"{x[3]}\n{x[4]}"), (None, f"{x[5]}\n{x[6]}"), (None, f"{x[7]}\n{x[8]}"), (None, f"{x[5]}\n{x[9]}"), (3, f"{x[10]}\n{x[1]}"), (3, f"{x[11]}\n{x[1]}"), (4, x[2] + "!"), (4, x[2] + "!"), (5, None), (5, "")]
+    got = [(r.doc_id, r.kept_text) for r in line_dedup.dedup_lines(frame(spark, rows), 2, 32).collect()]
+    assert sorted(got, key=str) == sorted(lines_left(rows), key=str)
+
+
 def test_minhash(spark):
     rng = random.Random(3)
     words = [f"w{i}" for i in range(3000)]
