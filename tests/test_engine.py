@@ -156,3 +156,32 @@ def test_entry_and_catalogue(spark):
 
     assert set(e.oracle_sql()) <= set(e.queries())
     assert e.queries()["raster_summary"](spark, "/root/testdata/sf0.001").count() == 10
+
+
+def test_hole_fill_and_leaf_order_of_every_image(spark):
+    from tessera.plans import catalogue
+
+    d = "/root/testdata/sf0.001"
+    ids = [r.s_suppkey for r in spark.read.parquet(f"{d}/supplier.parquet").collect()]
+    got = {r.image_id: (r.n_px, r.n_roi, r.n_filled) for r in catalogue.roi_hole_fill(spark, d).collect()}
+    want = {}
+    for i in ids:
+        y, x = np.mgrid[: 48 + i % 17, :64]
+        d2, rad = (x - 32) ** 2 + (y - 24) ** 2, 8 + i % 8
+        ring = ((d2 >= rad**2) & (d2 <= (rad + 3) ** 2)).astype(np.uint8)
+        out = (ring == 0) & ((y == 0) | (x == 0) | (y == y.max()) | (x == 63))
+        while True:
+            p = np.pad(out, 1)
+            more = (ring == 0) & np.any([p[1 + b : 1 + b + out.shape[0], 1 + a : 65 + a] for a in (-1, 0, 1) for b in (-1, 0, 1)], axis=0)
+            if (more == out).all():
+                break
+            out = more
+        want[i] = (ring.size, int(ring.sum()), int((~out).sum()))
+    assert got == want and len({i % 10 for i in want}) == 10
+    leaves = catalogue.quadtree_leaves_range(spark, d).groupBy("image_id").sum("n_leaves").collect()
+    order = catalogue.quadtree_morton_order(spark, d).collect()
+    of = {i: sorted((r.place, r.code, r.x, r.y) for r in order if r.image_id == i) for i in ids}
+    assert {i: len(v) for i, v in of.items()} == {r.image_id: r[1] for r in leaves}
+    for rows in of.values():
+        assert [r[0] for r in rows] == list(range(1, len(rows) + 1)) and [r[1] for r in rows] == sorted({r[1] for r in rows})
+        assert all(code == sum((x >> b & 1) << 2 * b | (y >> b & 1) << 2 * b + 1 for b in range(6)) for _, code, x, y in rows)
