@@ -5,7 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -169,9 +171,19 @@ def tile_wire_size(spark, d):
 
 
 def byte_histogram(spark, d):
-    """Counts of the texts' ASCII bytes."""
-    chars = _documents(spark, d).select(F.explode(F.split(F.regexp_replace("text", r"[^\x01-\x7F]", ""), "")).alias("c")).filter("c <> ''")
-    return chars.groupBy(_long(F.ascii("c"), "byte")).agg(F.count(F.lit(1)).alias("n"))
+    """Counts of the texts' UTF-8 bytes, all 256 values."""
+
+    def count(batches):
+        total = np.zeros(256, np.int64)
+        for batch in batches:
+            for raw in batch.column(0).to_pylist():
+                total += np.bincount(np.frombuffer(raw or b"", np.uint8), minlength=256)
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["byte", "n"])
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
+    raw = _documents(spark, d).select(F.encode("text", "UTF-8").alias("raw"))
+    return raw.mapInArrow(count, "byte long, n long").groupBy("byte").agg(F.sum("n").alias("n"))
 
 
 def _per_text(spark, d, fn, schema: str) -> DataFrame:

@@ -185,3 +185,13 @@ def test_hole_fill_and_leaf_order_of_every_image(spark):
     for rows in of.values():
         assert [r[0] for r in rows] == list(range(1, len(rows) + 1)) and [r[1] for r in rows] == sorted({r[1] for r in rows})
         assert all(code == sum((x >> b & 1) << 2 * b | (y >> b & 1) << 2 * b + 1 for b in range(6)) for _, code, x, y in rows)
+
+
+def test_byte_histogram_counts_every_byte(spark, tmp_path):
+    from collections import Counter
+
+    from tessera.plans import catalogue
+
+    texts = ["é漢字😀 ß", "a\0b\x7f", "", None, "plain\n" * 300]
+    spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert {r.byte: r.n for r in catalogue.byte_histogram(spark, str(tmp_path)).collect()} == Counter(b"".join((t or "").encode() for t in texts))
