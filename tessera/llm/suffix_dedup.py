@@ -1,4 +1,6 @@
-"""Substring dedup with prefix-partitioned suffix trees.
+"""Substring dedup by window fingerprints in prefix partitions.
+
+They stand in for prefix-partitioned suffix trees: no tree is built, and no node deeper than the window is found, which the words removed don't depend on.
 
 A suffix starts at every word that has at least `window` words from it to the end of its document.
 
