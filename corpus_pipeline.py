@@ -2,6 +2,7 @@
 
 Language ID drops documents whose language it rejects; line dedup removes repeated and near-repeated lines; MinHash keeps
 one document of each group of near copies; substring dedup removes repeated passages; packing lays the rest into sequences.
+Rows that share a doc_id, or have none, are documents of their own; a row goes only where a stage finds it rejected or a copy.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import langid, line_dedup, minhash, packing, suffix_dedup
-from tessera.llm.common import LEAST_LONG, materialize, table
+from tessera.llm.common import LEAST_LONG, materialize, row_keys, table
 from tessera.llm.queries import vocabulary
 
 
@@ -27,31 +28,31 @@ def _with_text(docs: DataFrame, texts: DataFrame) -> DataFrame:
     return out.select(*[columns.get(c, F.col(c)).alias(c) for c in docs.columns])
 
 
-def _once(docs: DataFrame) -> DataFrame:
-    """One row for each doc_id, so that texts can be joined to their documents; nothing is shuffled where that holds already."""
-    repeated = docs.groupBy("doc_id").count().filter("count > 1").head(1)
-    return docs.dropDuplicates(["doc_id"]) if repeated else docs
-
-
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is accepted; the model is trained on these documents' labelled rows."""
-    accepted = materialize(langid.identify(docs).filter("accepted").select(_id()).distinct(), "accepted", False)
-    return docs.join(accepted, F.coalesce(docs["doc_id"], F.lit(LEAST_LONG)) == accepted["_id"], "left_semi")
+    """Rows whose language is accepted; the model is trained on these documents' labelled rows."""
+    keyed = row_keys(docs)
+    try:
+        model = langid.train(docs)
+    except ValueError:  # no labelled row
+        return docs.limit(0)
+    named = langid.identify(keyed.select(F.col("_row_key").alias("doc_id"), "text"), model)
+    accepted = materialize(named.filter("accepted").select(F.col("doc_id").alias("_row_key")), "accepted", False)
+    return keyed.join(accepted, "_row_key", "left_semi").select(docs.columns)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that occur before; those that lose none are unchanged."""
-    docs = _once(docs)
     removed = F.col("_lines.n_removed") > 0
     changed = {"text": F.when(removed, F.col("_lines.kept_text")).otherwise(F.col("text")), "n_chars": F.when(removed, F.char_length("_lines.kept_text").cast("long")).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None}
     return line_dedup.rewrite_lines(docs).select(*[changed.get(c, F.col(c)).alias(c) for c in docs.columns])
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group of near copies."""
-    docs = _once(docs)
-    kept = materialize(minhash.near_duplicates(docs).filter("kept").select(_id()), "kept", False)
-    return docs.join(kept, F.coalesce(docs["doc_id"], F.lit(LEAST_LONG)) == kept["_id"], "left_semi")
+    """The first row of each group of near copies."""
+    keyed = row_keys(docs)
+    found = minhash.near_duplicates(keyed.select(F.col("_row_key").alias("doc_id"), "text"))
+    kept = materialize(found.filter("kept").select(F.coalesce("doc_id", F.lit(LEAST_LONG)).alias("_row_key")), "kept", False)
+    return keyed.join(kept, "_row_key", "left_semi").select(docs.columns)
 
 
 def dedup_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

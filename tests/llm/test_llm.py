@@ -367,3 +367,75 @@ def test_pipeline_shape():
     import corpus_pipeline as p
 
     assert [n for n, _ in p.STAGES] == ["language_id", "line_dedup", "minhash_dedup", "substring_dedup", "packing"]
+
+
+@pytest.fixture(scope="module")
+def odd_documents():
+    """(doc_id, text, lang, source) with null and repeated ids, equal rows, near copies, shared lines and passages, empty, null and long texts; source numbers the rows."""
+    rng = random.Random(12)
+    kinds = {"aa": ["tha", "ing", "ou"], "bb": ["zug", "eß", "ver"]}
+    word = lambda k: "".join(rng.choice(kinds[k]) for _ in range(rng.randint(3, 6)))
+    text = lambda k, n: "\n".join(" ".join(word(k) for _ in range(12)) for _ in range(n))
+    rows = [(i, text(k, rng.randint(2, 5)), k) for i in range(20) for k in [rng.choice(["aa", "bb"])]]
+    copy = rows[3][1].split(" ")
+    rows += [(30, " ".join(copy), "aa"), (31, " ".join(copy[:-1] + ["last"]), "aa")]  # an equal text, a near copy
+    rows += [(32, text("aa", 2) + "\n" + rows[4][1].split("\n")[1], None), (33, text("bb", 1) + " " + " ".join(rows[5][1].split()[:23]), "bb")]
+    same = text("aa", 4)
+    rows += [(7, text("aa", 3), "aa"), (7, "12 !?", "aa"), (8, text("bb", 3), "bb"), (40, same, "aa"), (40, same, "aa")]
+    rows += [(None, text("aa", 3), None), (None, text("bb", 2), None), (None, "?? 12", None), (None, rows[6][1], None), (None, text("aa", 2), None)]
+    rows += [(41, "", None), (42, None, None), (42, None, None), (43, text("aa", 60), "aa")]
+    return [(i, t, k, str(n)) for n, (i, t, k) in enumerate(rows)]
+
+
+def pipeline_frame(spark, rows):
+    return spark.createDataFrame([(i, t, k, s, len(t or "")) for i, t, k, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
+
+
+def by_order(rows):
+    return sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
+
+
+def languages_left(spark, rows):
+    model = langid.train(pipeline_frame(spark, rows))
+    one = spark.createDataFrame([(n, r[1]) for n, r in enumerate(rows)], "doc_id long, text string")
+    good = {r.doc_id for r in langid.identify(one, model).collect() if r.accepted}
+    return [(r[0], r[1]) for n, r in enumerate(rows) if n in good]
+
+
+def documents_left(rows):
+    shingles = lambda t: (lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set()))((t or "").split())
+    out, seen = [], []
+    for r in by_order(rows):
+        s = shingles(r[1])
+        if not any(s and len(s & x) / len(s | x) >= 0.8 for x in seen):
+            out.append(r)
+        seen.append(s)
+    return out
+
+
+def passages_left(rows):
+    out, seen = [], set()
+    for i, t in by_order(rows):
+        w = (t or "").split()
+        hit = [False] * len(w)
+        for k in range(len(w) - 19):
+            if tuple(w[k : k + 20]) in seen:
+                hit[k : k + 20] = [True] * 20
+            seen.add(tuple(w[k : k + 20]))
+        out.append((i, " ".join(x for x, h in zip(w, hit) if not h) if any(hit) else t))
+    return out
+
+
+def pairs(docs):
+    return sorted(((r.doc_id, r.text) for r in docs.collect()), key=str)
+
+
+def test_pipeline_stages_lose_only_what_they_find(spark, odd_documents):
+    import corpus_pipeline as p
+
+    docs, rows = pipeline_frame(spark, odd_documents), [r[:2] for r in odd_documents]
+    assert pairs(p.identify_language(spark, docs, "")) == sorted(languages_left(spark, odd_documents), key=str)
+    lines = p.dedup_lines(spark, docs, "").collect()
+    assert sorted(((r.doc_id, r.text) for r in lines), key=str) == sorted(lines_left(rows), key=str)
+    assert sorted(r.source for r in lines) == sorted(r[3] for r in odd_documents) and all(r.n_chars == len(r.text or "") for r in lines)
+    assert pairs(p.dedup_documents(spark, docs, "")) == sorted(documents_left(rows), key=str)
