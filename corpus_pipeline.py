@@ -15,19 +15,6 @@ from tessera.llm.common import LEAST_LONG, materialize, row_keys, table
 from tessera.llm.queries import vocabulary
 
 
-def _id(column: str = "doc_id"):
-    return F.coalesce(F.col(column), F.lit(LEAST_LONG)).alias("_id")
-
-
-def _with_text(docs: DataFrame, texts: DataFrame) -> DataFrame:
-    """docs with the texts of (doc_id, changed) where they have one, and n_chars to match; other columns stay."""
-    new = texts.select(_id().alias("_id"), F.col("changed").alias("_changed"))
-    out = docs.withColumn("_id", _id()).join(new, "_id", "left")
-    text = F.coalesce("_changed", "text")
-    columns = {"text": text} | ({"n_chars": F.when(F.col("_changed").isNotNull(), F.char_length("_changed").cast("long")).otherwise(F.col("n_chars"))} if "n_chars" in docs.columns else {})
-    return out.select(*[columns.get(c, F.col(c)).alias(c) for c in docs.columns])
-
-
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose language is accepted; the model is trained on these documents' labelled rows."""
     keyed = row_keys(docs)
@@ -57,8 +44,12 @@ def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def dedup_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the words of passages that start earlier too; those that lose none are unchanged."""
-    changed = suffix_dedup.remove_repeats(docs).filter("n_removed > 0").select("doc_id", F.col("kept_text").alias("changed"))
-    return _with_text(docs, changed)
+    keyed = row_keys(docs)
+    texts = suffix_dedup.remove_repeats(keyed.select(F.col("_row_key").alias("doc_id"), "text")).filter("n_removed > 0")
+    out = keyed.join(texts.select(F.col("doc_id").alias("_row_key"), F.col("kept_text").alias("_changed")), "_row_key", "left")
+    changed = F.col("_changed").isNotNull()
+    columns = {"text": F.coalesce("_changed", "text")} | ({"n_chars": F.when(changed, F.char_length("_changed").cast("long")).otherwise(F.col("n_chars"))} if "n_chars" in docs.columns else {})
+    return out.select(*[columns.get(c, F.col(c)).alias(c) for c in docs.columns])
 
 
 def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

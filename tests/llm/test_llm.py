@@ -439,3 +439,11 @@ def test_pipeline_stages_lose_only_what_they_find(spark, odd_documents):
     assert sorted(((r.doc_id, r.text) for r in lines), key=str) == sorted(lines_left(rows), key=str)
     assert sorted(r.source for r in lines) == sorted(r[3] for r in odd_documents) and all(r.n_chars == len(r.text or "") for r in lines)
     assert pairs(p.dedup_documents(spark, docs, "")) == sorted(documents_left(rows), key=str)
+
+
+def test_pipeline_passages_of_equal_rows_and_null_ids(spark, odd_documents):
+    import corpus_pipeline as p
+
+    got = p.dedup_passages(spark, pipeline_frame(spark, odd_documents), "").collect()
+    assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted(passages_left([r[:2] for r in odd_documents]), key=str)
+    assert sorted(r.source for r in got) == sorted(r[3] for r in odd_documents) and all(r.n_chars == len(r.text or "") for r in got)
