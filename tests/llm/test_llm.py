@@ -447,3 +447,18 @@ def test_pipeline_passages_of_equal_rows_and_null_ids(spark, odd_documents):
     got = p.dedup_passages(spark, pipeline_frame(spark, odd_documents), "").collect()
     assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted(passages_left([r[:2] for r in odd_documents]), key=str)
     assert sorted(r.source for r in got) == sorted(r[3] for r in odd_documents) and all(r.n_chars == len(r.text or "") for r in got)
+
+
+def test_pipeline_run(spark, odd_documents, tmp_path):
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline as p
+
+    pipeline_frame(spark, odd_documents).write.parquet(str(tmp_path / "documents.parquet"))
+    tok = Tokenizer.from_file(vocabulary("word_bpe_49k.json"))
+    tok.no_padding()
+    tok.no_truncation()
+    want = passages_left(documents_left(lines_left(languages_left(spark, odd_documents))))
+    got = p.run(spark, str(tmp_path)).collect()
+    assert sorted(((r.doc_id, r.doc_tokens) for r in got if r.start == 0), key=str) == sorted(((i, len(tok.encode(t or "", add_special_tokens=False).ids) + 1) for i, t in want), key=str)
+    assert sum(r.length for r in got) == sum(r.doc_tokens for r in got if r.start == 0)
