@@ -184,10 +184,10 @@ class TrieBpe:
                             at += len(token)
                 more.append(np.array(found, np.int64))
             starts = np.sort(np.concatenate(more))
-        lengths = np.diff(starts, append=len(data))
-        distinct, first, name = np.unique(C.segment_hashes(data, starts, lengths), return_index=True, return_inverse=True)
-        encode = lambda places: self._chunk_ids([raw[a : a + k] for a, k in zip(starts[first[places]].tolist(), lengths[first[places]].tolist(), strict=True)])
-        begins, sizes = self.known.find(distinct, encode)
+        chunks, chunk_at, name = C.distinct_segments(data, np.append(starts, len(data)))
+        flat_chunks = chunks.tobytes()
+        encode = lambda places: self._chunk_ids([flat_chunks[a:z] for a, z in zip(chunk_at[places].tolist(), chunk_at[places + 1].tolist(), strict=True)])
+        begins, sizes = self.known.find(chunks, chunk_at, encode)
         n, flat_at = sizes[name], begins[name]
         if special:
             marks = np.searchsorted(starts, list(special))

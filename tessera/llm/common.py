@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import hashlib
 import tempfile
 import time
 import uuid
@@ -142,18 +143,9 @@ def pieces(offsets: np.ndarray, most: int = PIECE_BYTES):
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 
-_rng = np.random.Generator(np.random.PCG64(20240229))
-_BYTE = _rng.integers(0, 2**64, 256, dtype=np.uint64)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_POWERS = np.ones(1, np.uint64)
-
-
-def powers(n: int) -> np.ndarray:
-    """_BASE**0 .. _BASE**(n-1) modulo 2**64; kept and enlarged by doubling."""
-    global _POWERS
-    while len(_POWERS) < n:
-        _POWERS = np.concatenate([_POWERS, _POWERS * (_POWERS[-1:] * _BASE)])
-    return _POWERS[:n]
+#: Bytes of a word that are hashed in numpy; a longer one goes through BLAKE2b.
+LANES = 4
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -164,14 +156,40 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def segment_hashes(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """64-bit hashes of data[starts[i] : starts[i] + lengths[i]]; lengths are 1 or more."""
+    """64-bit hashes of data[starts[i] : starts[i] + lengths[i]]; lengths are 1 or more.
+
+    Eight bytes at a time are mixed into the state by a bijection that isn't linear, so no pattern of bytes cancels out. Different words of
+    equal length up to 8 bytes never collide, others by chance only.
+    """
     if len(starts) == 0:
         return np.zeros(0, np.uint64)
-    first = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-    at = np.arange(int(first[-1] + lengths[-1]))
-    within = at - np.repeat(first, lengths)
-    values = _BYTE[data[within + np.repeat(starts, lengths)]] * powers(int(lengths.max()))[within]
-    return mix(np.add.reduceat(values, first) + lengths.astype(np.uint64))
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    lanes = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    starts, lengths = np.asarray(starts, np.int64), np.asarray(lengths, np.int64)
+    ones = np.uint64(0xFFFFFFFFFFFFFFFF)
+    out = mix(lengths.astype(np.uint64) * _BASE)
+    where = slice(None)
+    for lane in range(LANES):
+        s, n = starts[where] + 8 * lane, np.minimum(lengths[where] - 8 * lane, 8)
+        out[where] = mix(out[where] ^ (lanes[s] & (ones >> ((8 - n) * 8).astype(np.uint64))))
+        where = np.flatnonzero(lengths > 8 * (lane + 1))
+        if not len(where):
+            return out
+    for i in where.tolist():
+        word = data[starts[i] : starts[i] + lengths[i]].tobytes()
+        out[i] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+    return out
+
+
+def distinct_segments(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct ones of data[offsets[i] : offsets[i + 1]], compared byte by byte: their bytes, offsets, and which of them each is."""
+    column = pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(np.ascontiguousarray(offsets, np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
+    coded = column.dictionary_encode()
+    _, offs, flat = coded.dictionary.buffers()
+    n = len(coded.dictionary)
+    at = np.frombuffer(offs, np.int32, n + 1, coded.dictionary.offset * 4).astype(np.int64)
+    flat = np.frombuffer(flat, np.uint8) if flat is not None and flat.size else np.zeros(0, np.uint8)
+    return flat[at[0] : at[-1]], at - at[0], coded.indices.to_numpy(zero_copy_only=False)
 
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -191,27 +209,28 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def windows(hashes: np.ndarray, k: int) -> np.ndarray:
-    """Hashes of hashes[i : i + k] for every i, by doubling; len(hashes) - k + 1 values."""
+    """Hashes of hashes[i : i + k] for every i, by doubling; len(hashes) - k + 1 values. Each step mixes, so none is linear in the words."""
     n = len(hashes) - k + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    base, out, done, level, width, factor = _BASE, None, 0, hashes, 1, np.array([_BASE])
+    base, out, done, level, width = np.array([_BASE]), None, 0, hashes, 1
     rest = k
     while rest:
         if rest & 1:
             part = level[done : done + n]
-            out = part.copy() if out is None else out * factor + part
+            out = part.copy() if out is None else mix(out * base + part)
             done += width
         rest >>= 1
         if rest:
-            level, width, factor = level[:-width] * factor + level[width:], width * 2, factor * factor
+            level, width = mix(level[:-width] * base + level[width:]), width * 2
     return mix(out + base)
 
 
 class IdCache:
-    """Token ids of the words a worker has met, by their 64-bit hashes, in sorted arrays: a piece's words are looked up at once.
+    """Token ids of the words a worker has met, found by their 64-bit hashes in sorted arrays and then compared byte by byte: a piece's words are looked up at once.
 
     New words go to a small array that is merged into the large one now and then. Beyond `most` words all are forgotten but those of the piece at hand.
+    Of different words with equal hashes the first is remembered; the others are encoded whenever they occur.
     """
 
     def __init__(self, most: int):
@@ -219,46 +238,80 @@ class IdCache:
         self.clear()
 
     def clear(self) -> None:
-        self.levels = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32))] * 2
+        self.levels = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int32))] * 2
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.letters, self.lettered = np.zeros(1 << 16, np.uint8), 0
 
     def __len__(self) -> int:
-        return sum(len(h) for h, _, _ in self.levels)
+        return sum(len(level[0]) for level in self.levels)
 
-    def _append(self, ids: np.ndarray) -> None:
-        if self.used + len(ids) > len(self.flat):
-            self.flat = np.concatenate([self.flat[: self.used], np.zeros(max(self.used, len(ids)), np.uint32), np.zeros(len(ids), np.uint32)])
-        self.flat[self.used : self.used + len(ids)] = ids
+    def _append(self, ids: np.ndarray) -> int:
+        self.flat, at = _grown(self.flat, self.used, ids), self.used
         self.used += len(ids)
+        return at
+
+    def _remember(self, raw: np.ndarray) -> int:
+        self.letters, at = _grown(self.letters, self.lettered, raw), self.lettered
+        self.lettered += len(raw)
+        return at
+
+    def find(self, data: np.ndarray, offsets: np.ndarray, encode) -> tuple[np.ndarray, np.ndarray]:
+        """Where in `flat` the ids of the distinct words data[offsets[i] : offsets[i + 1]] start, and how many they are; encode(numbers of words) gives a list of ids for each."""
+        size = np.diff(offsets)
+        h = segment_hashes(data, offsets[:-1], size)
+        order = np.argsort(h, kind="stable")
+        ranked = h[order]
+        begin, count = self._find(ranked, data, offsets[:-1][order], size[order].astype(np.int32), lambda places: encode(order[places]))
+        at, n = np.empty(len(h), np.int64), np.empty(len(h), np.int64)
+        at[order], n[order] = begin, count
+        return at, n
 
-    def find(self, h: np.ndarray, encode) -> tuple[np.ndarray, np.ndarray]:
-        """Where in `flat` the ids of the words with distinct ascending hashes h start, and how many they are; encode(places in h) gives a list of ids for each unknown word."""
-        at, n, new = np.zeros(len(h), np.int64), np.zeros(len(h), np.int64), np.ones(len(h), bool)
-        for known, starts, sizes in self.levels:
+    def _find(self, h: np.ndarray, data: np.ndarray, begins: np.ndarray, lengths: np.ndarray, encode) -> tuple[np.ndarray, np.ndarray]:
+        at, n, new, apart = np.zeros(len(h), np.int64), np.zeros(len(h), np.int64), np.ones(len(h), bool), np.zeros(len(h), bool)
+        apart[1:] = h[1:] == h[:-1]
+        for known, starts, sizes, places, letters in self.levels:
             if len(known):
                 i = np.minimum(np.searchsorted(known, h), len(known) - 1)
-                hit = known[i] == h
-                at[hit], n[hit] = starts[i[hit]], sizes[i[hit]]
-                new &= ~hit
+                hit = np.flatnonzero((known[i] == h) & ~apart)
+                j = i[hit]
+                same = letters[j] == lengths[hit]
+                hit_, j_ = hit[same], j[same]
+                differ = self.letters[gather_at(places[j_], lengths[hit_])] != data[gather_at(begins[hit_], lengths[hit_])]
+                wrong = np.zeros(len(hit), bool)
+                wrong[~same] = True
+                wrong[np.flatnonzero(same)[np.unique(np.repeat(np.arange(len(hit_)), lengths[hit_])[differ])]] = True
+                apart[hit[wrong]] = True
+                hit, j = hit[~wrong], j[~wrong]
+                at[hit], n[hit] = starts[j], sizes[j]
+                new[hit] = False
         where = np.flatnonzero(new)
         if len(where):
-            if len(self) + len(where) > self.most:
-                old = self.flat[gather_at(at[~new], n[~new])]
-                kept = h[~new], np.cumsum(n[~new]) - n[~new], n[~new].astype(np.int32)
-                at[~new] = kept[1]
+            fresh = where[~apart[where]]
+            if len(self) + len(fresh) > self.most:
+                old = np.flatnonzero(~new)
+                ids, raw = self.flat[gather_at(at[old], n[old])], data[gather_at(begins[old], lengths[old])]
                 self.clear()
-                self.levels[0] = kept
-                self._append(old)
+                at[old] = self._append(ids) + np.cumsum(n[old]) - n[old]
+                place = self._remember(raw) + np.cumsum(lengths[old]) - lengths[old]
+                self.levels[0] = h[old], at[old], n[old].astype(np.int32), place.astype(np.int64), lengths[old]
             lists = encode(where)
             n[where] = [len(x) for x in lists]
-            at[where] = self.used + np.cumsum(n[where]) - n[where]
-            self._append(np.fromiter((i for x in lists for i in x), np.uint32, int(n[where].sum())))
-            self.levels[1] = _merged(self.levels[1], (h[where], at[where], n[where].astype(np.int32)))
+            at[where] = self._append(np.fromiter((i for x in lists for i in x), np.uint32, int(n[where].sum()))) + np.cumsum(n[where]) - n[where]
+            place = self._remember(data[gather_at(begins[fresh], lengths[fresh])]) + np.cumsum(lengths[fresh]) - lengths[fresh]
+            self.levels[1] = _merged(self.levels[1], (h[fresh], at[fresh], n[fresh].astype(np.int32), place.astype(np.int64), lengths[fresh]))
             if len(self.levels[1][0]) > max(1 << 16, len(self.levels[0][0]) // 8):
                 self.levels = [_merged(*self.levels), tuple(x[:0] for x in self.levels[1])]
         return at, n
 
 
+def _grown(array: np.ndarray, used: int, more: np.ndarray) -> np.ndarray:
+    """array with `more` from place `used` on, enlarged by doubling where it is full."""
+    if used + len(more) > len(array):
+        array = np.concatenate([array[:used], np.zeros(max(used, len(more)) + len(more), array.dtype)])
+    array[used : used + len(more)] = more
+    return array
+
+
 def _merged(a: tuple, b: tuple) -> tuple:
     """Columns a and b in the order of their first."""
     place = np.searchsorted(a[0], b[0])

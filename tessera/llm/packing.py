@@ -45,14 +45,14 @@ class WordTokenizer:
         starts, lengths, at = C.words(data, offsets)
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
-        distinct, first, name = np.unique(C.segment_hashes(data, starts, lengths), return_index=True, return_inverse=True)
+        inside, distinct_at, name = C.distinct_segments(data[~C.SPACE[data]], np.concatenate([[0], np.cumsum(lengths)]))
 
         def encode(places):
-            raw, begin = data.tobytes(), first[places]
-            found = self.tokenizer.encode_batch_fast([raw[a : a + k].decode() for a, k in zip(starts[begin].tolist(), lengths[begin].tolist(), strict=True)], add_special_tokens=False)
+            raw = inside.tobytes()
+            found = self.tokenizer.encode_batch_fast([raw[a:z].decode() for a, z in zip(distinct_at[places].tolist(), distinct_at[places + 1].tolist(), strict=True)], add_special_tokens=False)
             return [e.ids for e in found]
 
-        begins, sizes = self.known.find(distinct, encode)
+        begins, sizes = self.known.find(inside, distinct_at, encode)
         n = sizes[name]
         return self.known.flat[C.gather_at(begins[name], n)], np.concatenate([[0], np.cumsum(n)])[at]
 

@@ -314,17 +314,51 @@ def test_bpe(spark, corpus):
     assert back == {i: t or "" for i, t in corpus}
 
 
+def segments(words):
+    return np.frombuffer(b"".join(words), np.uint8), np.concatenate([[0], np.cumsum([len(w) for w in words])]).astype(np.int64)
+
+
 @pytest.mark.parametrize("most", [5, 60, 10_000])
-def test_id_cache_finds_what_was_encoded(most):
+@pytest.mark.parametrize("bits", [64, 5])
+def test_id_cache_finds_what_was_encoded(most, bits, monkeypatch):
+    real = common.segment_hashes
+    monkeypatch.setattr(common, "segment_hashes", lambda *a: real(*a) >> np.uint64(64 - bits))  # with 5 bits most words collide
     rng, cache = np.random.default_rng(7), common.IdCache(most)
-    ids_of = lambda h: [int(h) % 97 + i for i in range(int(h) % 4)]
+    ids_of = lambda w: [len(w) * 7 + w[0] + i for i in range(w[0] % 4)]
     for _ in range(30):
-        h = np.unique(rng.integers(0, 300, rng.integers(0, 50)).astype(np.uint64))
-        at, n = cache.find(h, lambda places, h=h: [ids_of(x) for x in h[places]])
-        assert [cache.flat[a : a + k].tolist() for a, k in zip(at, n, strict=True)] == [ids_of(x) for x in h]
+        words = sorted({b"%d" % x * (x % 3 + 1) for x in rng.integers(0, 300, rng.integers(0, 50))})
+        at, n = cache.find(*segments(words), lambda places, words=words: [ids_of(words[i]) for i in places])
+        assert [cache.flat[a : a + k].tolist() for a, k in zip(at, n, strict=True)] == [ids_of(w) for w in words]
         assert len(cache) <= max(most, 50)  # no piece has more words
 
 
+def thue_morse(n):
+    word, other = "a", "b"
+    while len(word) < n:
+        word, other = word + other, other + word
+    return word, other
+
+
+@pytest.mark.parametrize("n", [1024, 8192])
+def test_words_that_differ_have_different_hashes_and_ids(spark, n):
+    from tokenizers import Tokenizer
+
+    pair = thue_morse(n)
+    assert len(set(common.segment_hashes(*(lambda d, o: (d, o[:-1], np.diff(o)))(*segments([w.encode() for w in pair]))).tolist())) == 2
+    for name, load in (("word_bpe_49k.json", packing.load), ("byte_bpe_50k.json", bpe.load)):
+        tok = Tokenizer.from_file(vocabulary(name))
+        tok.no_padding()
+        tok.no_truncation()
+        ids, at = load(vocabulary(name)).encode_bytes(*segments([w.encode() for w in pair]))
+        assert [ids[a:z].tolist() for a, z in zip(at[:-1], at[1:])] == [tok.encode(w, add_special_tokens=False).ids for w in pair]
+    common_words = " ".join(f"w{i}" for i in range(19))
+    rows = spark.createDataFrame([(i, f"{common_words} {w}") for i, w in enumerate(pair)], "doc_id long, text string")
+    assert {r.n_removed for r in suffix_dedup.remove_repeats(rows, 20, least_groups=2).collect()} == {0}
+    data, offsets = segments([f"{w} x y z {w}".encode() for w in pair])
+    of, value, _, _ = minhash.shingles(data, offsets, 5)
+    assert len(set(value.tolist())) == 2
+
+
 def test_sharding(spark, corpus):
     rows = corpus + [(i, "x") for i in range(200, 3000)] + [(7, "again"), (7, "again")]
     got = sharding.shard(frame(spark, rows), (1.0,) * 9 + (3.0,)).collect()
