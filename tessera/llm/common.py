@@ -34,17 +34,55 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
-def materialize(df: DataFrame, label: str, release_shuffles: bool = True) -> DataFrame:
-    """Writes df to the shared folder and reads it again: later stages don't depend on executors' local files."""
+#: Folders that materialize() has written and discard() hasn't deleted.
+_WRITTEN: list[str] = []
+
+
+def write(df: DataFrame, label: str) -> DataFrame:
+    """Writes df to the shared folder and reads it again; discard_since() leaves it there."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/tessera-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def materialize(df: DataFrame, label: str, release_shuffles: bool = True) -> DataFrame:
+    """Writes an intermediate table to the shared folder and reads it again: later stages don't depend on executors' local files."""
+    out = write(df, label)
+    _WRITTEN.append(out._written_to)
     if release_shuffles:
-        release(spark)
+        release(df.sparkSession)
     return out
 
 
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that materialize() returned, when no plan that is still to run reads them."""
+    for t in tables:
+        _delete(t.sparkSession, t._written_to)
+
+
+def written() -> int:
+    """A mark for discard_since()."""
+    return len(_WRITTEN)
+
+
+def discard_since(spark: SparkSession, mark: int = 0, keep: DataFrame | None = None) -> None:
+    """Deletes all but `keep` of what materialize() has written since the mark and not discarded; only for callers that know that nothing reads it any more."""
+    for path in _WRITTEN[mark:]:
+        if keep is None or path != keep._written_to:
+            _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    if path in _WRITTEN:
+        _WRITTEN.remove(path)
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark's cleaner drop the shuffle files of finished jobs, so that stages don't add up on disk.
 
@@ -60,15 +98,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """name, or with underscores before it a name that no column of df has (upper or lower case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def row_keys(rows: DataFrame, key: str = "_row_key") -> DataFrame:
     """rows and a long that no two of them share, in the order of doc_id (null: the least), then text.
 
-    It is the doc_id itself unless an id repeats; then rows are sorted, numbered and written down, so that later reads agree on the numbers.
+    It is the doc_id itself unless an id repeats; then rows are sorted, numbered and written down, so that later reads agree on the numbers. Equal rows can be
+    sorted in several tasks, as a salt comes last in the order.
     """
-    of = F.coalesce("doc_id", F.lit(LEAST_LONG))
+    of = F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST_LONG))
     if not rows.groupBy(of.alias("i")).count().filter("count > 1").head(1):
         return rows.withColumn(key, of)
-    return materialize(rows.orderBy(of, "text").withColumn(key, F.monotonically_increasing_id()), "row-keys")
+    salted = rows.withColumn(key, F.xxhash64(F.monotonically_increasing_id()))
+    return materialize(salted.orderBy(of, "text", key).withColumn(key, F.monotonically_increasing_id()), "row-keys")
+
+
+#: Ids that are sent to all executors at most (8 bytes each); more are joined by a shuffle.
+BROADCAST_IDS = 500_000
+
+
+def without(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """rows whose key isn't among ids (key), a table that is written: few ids are broadcast, so that rows aren't shuffled."""
+    return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, key, "left_anti")
 
 
 def at_position(bounds: list[int], value: Column) -> Column:

@@ -17,8 +17,12 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-#: Rows of the training sample at most, in expectation; what else there is to fit depends on it alone.
-SAMPLE_ROWS = 2500
+#: Rows of the training sample at most, in expectation, and characters of each at most, from a hashed place of its text on: a bound on what the driver gets.
+SAMPLE_ROWS, SAMPLE_CHARS = 2500, 4000
+#: Words of the chunks that are learnt from, one of each size from each sampled text.
+CHUNKS = (8, 24, 80)
+#: Bytes of text that are looked at at once; longer texts are cut at white space and their sums added up.
+PART_BYTES = 1 << 20
 GRAMS = (2, 3, 4)
 BUCKETS, DIM = 1 << 16, 12
 
@@ -58,6 +62,23 @@ def _by_text(data, offsets) -> tuple[np.ndarray, np.ndarray]:
     return bucket, np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(offsets) - 1))])
 
 
+def cut_texts(data: np.ndarray, offsets: np.ndarray, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets of parts of at most `most` bytes, and the text of each part. Cuts come after bytes that are no letters; only a word longer than that is cut itself."""
+    most = PART_BYTES if most is None else most
+    if (np.diff(offsets) <= most).all():
+        return offsets, np.arange(len(offsets) - 1)
+    cuts, of = [], []
+    for d, (a, z) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
+        while z - a > most:
+            blank = np.flatnonzero(_NORMAL[data[a : a + most]] == 32)
+            cuts.append(a)
+            of.append(d)
+            a += int(blank[-1]) + 1 if len(blank) else most
+        cuts.append(a)
+        of.append(d)
+    return np.array([*cuts, offsets[-1]], np.int64), np.array(of, np.int64)
+
+
 @dataclass
 class Model:
     langs: list[str]
@@ -69,16 +90,16 @@ class Model:
     def predict(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Calibrated probabilities, texts x languages; rows of texts without n-grams are NaN."""
         n = len(offsets) - 1
-        out = np.empty((n, len(self.langs)))
-        for i, j in C.pieces(offsets, 1 << 20):
-            o = offsets[i : j + 1]
-            total, sums = np.zeros(j - i), np.zeros((j - i, len(self.langs)))
+        cuts, of = cut_texts(data, offsets)
+        total, sums = np.zeros(n), np.zeros((n, len(self.langs)))
+        for i, j in C.pieces(cuts, PART_BYTES):
+            o = cuts[i : j + 1]
             for bucket, at in grams(data[o[0] : o[-1]], o - o[0]):
                 running = np.concatenate([np.zeros((1, len(self.langs))), np.cumsum(self.scores[bucket], axis=0)])
-                sums += running[at[1:]] - running[at[:-1]]
-                total += np.diff(at)
-            with np.errstate(invalid="ignore", divide="ignore"):
-                out[i:j] = sums / total[:, None] + self.bias
+                np.add.at(sums, of[i:j], running[at[1:]] - running[at[:-1]])
+                np.add.at(total, of[i:j], np.diff(at))
+        with np.errstate(invalid="ignore", divide="ignore"):
+            out = sums / total[:, None] + self.bias
         return softmax(out / self.temperature)
 
 
@@ -99,7 +120,7 @@ def fit(texts: list[str], labels: list[str], epochs: int = 6, rate: float = 1.0,
     chunks, ys = [], []
     for text, label in zip(texts, labels, strict=True):
         w = text.split()
-        for size in (8, 24, 80):
+        for size in CHUNKS:
             a = int(rng.integers(0, max(1, len(w) - size + 1)))
             chunks.append(" ".join(w[a : a + size]))
             ys.append(langs.index(label))
@@ -107,7 +128,7 @@ def fit(texts: list[str], labels: list[str], epochs: int = 6, rate: float = 1.0,
     bucket, ends = _by_text(data, offsets)
     counts, ends = np.diff(ends), ends[1:]
     y = np.array(ys)
-    held = (np.arange(len(chunks)) // 3) % 5 == 4 if len(texts) >= 20 else np.zeros(len(chunks), bool)
+    held = (np.arange(len(chunks)) // len(CHUNKS)) % 5 == 4 if len(texts) >= 20 else np.zeros(len(chunks), bool)
     E, W, b = rng.normal(0, 0.1, (BUCKETS, DIM)), np.zeros((DIM, len(langs))), np.zeros(len(langs))
     train = np.flatnonzero(~held & (counts > 0))
     for epoch in range(epochs):
@@ -148,11 +169,16 @@ def held_out():
 
 
 def train(docs: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
-    """Fits a model on the rows of docs with a lang whose hashed doc_id is below a threshold: about `rows` of them, the same in every run."""
+    """Fits a model on the rows of docs with a lang whose hashed doc_id is below a threshold: about `rows` of them, the same in every run, of which the driver gets SAMPLE_CHARS characters each.
+
+    Rows that share a doc_id are drawn by their texts, too, so a repeated id can't hold more of the sample than of the table.
+    """
     usable = labelled(docs)
     n = usable.count()
     share = 1.0 if n <= rows else rows / n
-    picked = usable.filter((F.shiftrightunsigned(F.xxhash64("doc_id", F.lit("langid")), 11).cast("double") / float(1 << 53)) < share).select("doc_id", "text", "lang").collect()
+    picked = usable.filter((F.shiftrightunsigned(F.xxhash64("doc_id", "text", F.lit("langid")), 11).cast("double") / float(1 << 53)) < share)
+    start = F.pmod(F.xxhash64("doc_id", F.lit("start")), F.greatest(F.char_length("text") - SAMPLE_CHARS, F.lit(0)) + 1).cast("int") + 1
+    picked = picked.select("doc_id", F.substring(F.col("text"), start, F.lit(SAMPLE_CHARS)).alias("text"), "lang").collect()
     picked.sort(key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["text"], r["lang"]))
     return fit([r["text"] for r in picked], [r["lang"] for r in picked])
 
@@ -166,26 +192,48 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """
     C.configure(docs.sparkSession)
     if model is None:
-        try:
-            model = train(docs)
-        except ValueError:
-            model = Model([], np.zeros((BUCKETS, 0)), np.zeros(0), 1.0, 1.0)
+        model = train_or_none(docs)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size: BUCKETS x languages
 
     def run(batches):
-        model = shared.value
         for b in batches:
-            column = b.column(1)
-            data, offsets = C.text_bytes(column)
-            n = len(column)
-            lang, score = np.full(n, "und", object), np.zeros(n)
-            if model.langs and n:
-                p = model.predict(data, offsets)
-                letters = np.array([bool(x) and any(map(str.isalpha, x)) for x in column.to_pylist()])
-                p[np.isnan(p)] = 0
-                best = p.argmax(axis=1)
-                lang = np.where(letters, np.array(model.langs, object)[best], "und")
-                score = np.where(letters, np.round(np.clip(p[np.arange(n), best], 0, 1), 9), 0.0)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array((lang != "und") & (score >= model.threshold), pa.bool_())], ["doc_id", "held_out", "lang_pred", "score", "accepted"])
+            lang, score, accepted = judge(shared.value, b.column(1))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(accepted, pa.bool_())], ["doc_id", "held_out", "lang_pred", "score", "accepted"])
 
     return docs.select("doc_id", "text", held_out().alias("held_out")).mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, accepted boolean")
+
+
+def train_or_none(docs: DataFrame) -> Model:
+    """The model of train(), or where no row is labelled one that knows no language."""
+    try:
+        return train(docs)
+    except ValueError:
+        return Model([], np.zeros((BUCKETS, 0)), np.zeros(0), 1.0, 1.0)
+
+
+def judge(model: Model, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Language, score and acceptance of each text of a column."""
+    data, offsets = C.text_bytes(column)
+    n = len(column)
+    lang, score = np.full(n, "und", object), np.zeros(n)
+    if model.langs and n:
+        p = model.predict(data, offsets)
+        letters = np.array([bool(x) and any(map(str.isalpha, x)) for x in column.to_pylist()])
+        p[np.isnan(p)] = 0
+        best = p.argmax(axis=1)
+        lang = np.where(letters, np.array(model.langs, object)[best], "und")
+        score = np.where(letters, np.round(np.clip(p[np.arange(n), best], 0, 1), 9), 0.0)
+    return lang, score, (lang != "und") & (score >= model.threshold)
+
+
+def accepted_rows(docs: DataFrame, model: Model | None = None) -> DataFrame:
+    """The rows of docs, with all their columns, whose language identify() accepts; nothing is joined."""
+    C.configure(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(train_or_none(docs) if model is None else model)
+    place = docs.columns.index("text")
+
+    def run(batches):
+        for b in batches:
+            yield b.filter(pa.array(judge(shared.value, b.column(place))[2], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-#: Edit distance of near-equal lines, and the length below which lines are only compared for equality.
-DISTANCE, LEAST_LENGTH = 2, 32
+#: Near-equal lines are within one edit for every EDIT_CHARS characters of the shorter one, and within DISTANCE edits at most.
+DISTANCE, EDIT_CHARS = 2, 16
 #: Keys (8 bytes each) that are sent to all executors; more are joined by a shuffle.
 BROADCAST_KEYS = 500_000
 
@@ -83,8 +83,8 @@ def _common(a: Column, b: Column, most: Column, suffix: bool) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.floor(F.log2(most + 1)).cast("int")), start, step)["lo"]
 
 
-def within(a: Column, b: Column, t: int) -> Column:
-    """Whether two arrays of characters are within edit distance t.
+def edits(a: Column, b: Column, t: int) -> Column:
+    """The edit distance of two arrays of characters if it is t or less, else t + 1.
 
     For e = 0 .. t a bit set holds the diagonals -t .. t that a prefix of `a` reaches with e edits or fewer; one character of `a` moves all diagonals
     at once: a match or a substitution stays, a deletion goes to the diagonal below, an insertion to the one above (bands of the automaton of S. Wu and U. Manber).
@@ -107,9 +107,18 @@ def within(a: Column, b: Column, t: int) -> Column:
             new.append(r.bitwiseAND(F.lit(mask)))
         return F.struct(*[r.alias(f"r{e}") for e, r in enumerate(new)])
 
-    end = F.aggregate(F.when(F.size(a) > 0, F.sequence(F.lit(1), F.size(a))).otherwise(F.array().cast("array<int>")), start, step)[f"r{t}"]
+    end = F.aggregate(F.when(F.size(a) > 0, F.sequence(F.lit(1), F.size(a))).otherwise(F.array().cast("array<int>")), start, step)
     diagonal = F.size(b) - F.size(a) + t
-    return (F.abs(F.size(b) - F.size(a)) <= t) & (F.getbit(end.cast("long"), F.when((diagonal >= 0) & (diagonal < width), diagonal).otherwise(0)) == 1)
+    place = F.when((diagonal >= 0) & (diagonal < width), diagonal).otherwise(0)
+
+    def least(s):
+        out = F.lit(t + 1)
+        for e in range(t, -1, -1):
+            out = F.when(F.getbit(s[f"r{e}"].cast("long"), place) == 1, e).otherwise(out)
+        return out
+
+    found = F.transform(F.array(end), least)[0]  # the bit sets are computed once
+    return F.when((diagonal >= 0) & (diagonal < width), found).otherwise(t + 1)
 
 
 def _signature(characters: Column) -> Column:
@@ -135,13 +144,27 @@ def _signature(characters: Column) -> Column:
     return F.aggregate(F.concat(characters, F.array(F.lit(""))), start, step)
 
 
-def near_pairs(lines: DataFrame, t: int = DISTANCE, least_length: int = LEAST_LENGTH) -> DataFrame:
-    """Pairs (x1, x2, y1, y2) of the hashes of distinct lines (h1, h2, line) within edit distance t, both of least_length characters or more.
+def _verified(pairs: DataFrame, texts: DataFrame, t: int, edit_chars: int) -> DataFrame:
+    """(h1, h2, x, y): the later lines of the pairs (x, y, the later one is y) of hashes h1 that are near."""
+    both = pairs.join(texts.select("h1", "line", "n").toDF("x", "a", "na"), "x").join(texts.select("h1", "h2", "line", "n").toDF("y", "h2", "b", "nb"), "y").filter(F.abs(F.col("na") - F.col("nb")) <= t)
+    shorter = F.least("na", "nb")
+    both = both.withColumn("p", _common(F.col("a"), F.col("b"), shorter, False))
+    both = both.withColumn("q", _common(F.col("a"), F.col("b"), shorter - F.col("p"), True))
+    middle = lambda s, n: F.split(F.substring(F.col(s), F.col("p") + 1, F.col(n) - F.col("p") - F.col("q")), "")
+    both = both.withColumn("ca", F.filter(middle("a", "na"), lambda c: c != "")).withColumn("cb", F.filter(middle("b", "nb"), lambda c: c != ""))
+    allowed = F.least(F.lit(t), F.floor(shorter / edit_chars).cast("int"))
+    both = C.materialize(both.select("y", "h2", allowed.alias("allowed"), "ca", "cb"), "line-middles", False)  # else the filter would be computed with its inputs repeated
+    return both.filter(edits(F.col("ca"), F.col("cb"), t) <= F.col("allowed")).select(F.col("y").alias("h1"), "h2").distinct()
+
+
+def near_lines(lines: DataFrame, t: int = DISTANCE, edit_chars: int = EDIT_CHARS) -> DataFrame:
+    """(h1, h2) of the distinct lines (h1, h2, doc_id, line_no, line) that are near to an earlier one (by doc_id, line_no).
 
-    First only the keys are found under which different lines meet. The lines of those get a signature that all links respect, and only
-    pairs whose signatures are near enough are made: variants of one line that share a segment but differ elsewhere make none.
+    First only the keys are found under which different lines meet. The lines of those get a signature that all links respect. Every line is verified against the
+    earliest ones under its keys whose signature is near enough; only lines for which that finds nothing are paired with the others, so a template with
+    thousands of variants makes few pairs for each.
     """
-    long = lines.withColumn("n", F.char_length("line")).filter(F.col("n") >= least_length)
+    long = lines.withColumn("n", F.char_length("line")).filter(F.col("n") >= edit_chars)
     index, probe = _index(long, t), _probes(long, t)
     ranges = index.groupBy("key").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
     asking = C.materialize(probe.join(ranges, "key").filter("lo <> y or hi <> y").select("key", "y"), "line-probes")
@@ -149,56 +172,60 @@ def near_pairs(lines: DataFrame, t: int = DISTANCE, least_length: int = LEAST_LE
     few = F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
     asked = C.materialize(index.join(few, "key").select("key", "x"), "line-index")
     ids = asked.select(F.col("x").alias("h1")).unionByName(asking.select(F.col("y").alias("h1"))).distinct()
-    texts = C.materialize(long.join(ids, "h1").select("h1", "h2", "line", "n"), "line-texts")
-    signed = C.materialize(texts.select("h1", _signature(F.filter(F.split("line", ""), lambda c: c != "")).alias("sig")), "line-signatures", False)
-    left = C.materialize(asked.join(signed.toDF("x", "sx"), "x"), "line-left", False)
-    right = C.materialize(asking.join(signed.toDF("y", "sy"), "y"), "line-right", False)
+    texts = C.materialize(long.join(ids, "h1").select("h1", "h2", "doc_id", "line_no", "line", "n"), "line-texts")
+    signed = C.materialize(texts.select("h1", F.struct("doc_id", "line_no").alias("at"), _signature(F.filter(F.split("line", ""), lambda c: c != "")).alias("sig")).groupBy("h1").agg(F.min("at").alias("at"), F.min_by("sig", "at").alias("sig")), "line-signatures", False)
+    left = C.materialize(asked.join(signed.toDF("x", "ax", "sx"), "x"), "line-left", False)
+    right = C.materialize(asking.join(signed.toDF("y", "ay", "sy"), "y"), "line-right", False)
     near = f"x <> y and bit_count(sx.c ^ sy.c) <= {2 * t} and bit_count(sx.p ^ sy.p) + bit_count(sx.q ^ sy.q) <= {4 * t}"
-    met = left.alias("l").join(right.alias("r"), F.expr(f"l.key = r.key and {near}")).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
-    met = C.materialize(met, "line-pairs", False)
-    both = met.join(texts.toDF("x", "x2", "a", "na"), "x").join(texts.toDF("y", "y2", "b", "nb"), "y").filter(F.abs(F.col("na") - F.col("nb")) <= t)
-    shorter = F.least("na", "nb")
-    both = both.withColumn("p", _common(F.col("a"), F.col("b"), shorter, False))
-    both = both.withColumn("q", _common(F.col("a"), F.col("b"), shorter - F.col("p"), True))
-    middle = lambda s, n: F.split(F.substring(F.col(s), F.col("p") + 1, F.col(n) - F.col("p") - F.col("q")), "")
-    both = both.withColumn("ca", F.filter(middle("a", "na"), lambda c: c != "")).withColumn("cb", F.filter(middle("b", "nb"), lambda c: c != ""))
-    both = C.materialize(both.select("x", "x2", "y", "y2", "ca", "cb"), "line-middles", False)  # else the filter would be computed with its inputs repeated
-    return both.filter(within(F.col("ca"), F.col("cb"), t)).select(F.col("x").alias("x1"), "x2", F.col("y").alias("y1"), "y2")
+    ordered = lambda df: df.select(F.when(F.expr("ax < ay"), F.col("x")).otherwise(F.col("y")).alias("x"), F.when(F.expr("ax < ay"), F.col("y")).otherwise(F.col("x")).alias("y")).distinct()
+
+    first = lambda df, *c: C.materialize(df.groupBy("key").agg(F.min(F.struct(c[1], c[0], c[2])).alias("m")).select("key", "m.*"), "line-heads", False)
+    heads = ordered(right.join(first(left, "x", "ax", "sx"), "key").filter(near)).unionByName(ordered(left.join(first(right, "y", "ay", "sy"), "key").filter(near)))
+    tried = C.materialize(heads.distinct(), "line-pairs", False)
+    found = C.materialize(_verified(tried, texts, t, edit_chars), "line-found", False)
+
+    done = found.select("h1").distinct().withColumn("done", F.lit(True))
+    left = C.materialize(left.join(done.toDF("x", "dx"), "x", "left"), "line-left", False)
+    right = C.materialize(right.join(done.toDF("y", "dy"), "y", "left"), "line-right", False)
+    met = ordered(left.alias("l").join(right.alias("r"), F.expr(f"l.key = r.key and {near} and if(ax < ay, dy, dx) is null")))
+    met = C.materialize(met.join(tried, ["x", "y"], "left_anti"), "line-pairs", False)
+    return found.unionByName(_verified(met, texts, t, edit_chars)).distinct()
 
 
-def kept_lines(docs: DataFrame, t: int = DISTANCE, least_length: int = LEAST_LENGTH) -> DataFrame:
+def kept_lines(docs: DataFrame, t: int = DISTANCE, edit_chars: int = EDIT_CHARS) -> DataFrame:
     """(id, kept, n_near): for each doc_id (null: the least), which no two rows may share, the numbers of the lines that stay, blank ones aside, and how many only a near line removes."""
+    mark = C.written()
     lines = C.materialize(distinct_lines(docs), "lines")
-    pairs = near_pairs(lines, t, least_length)
-    at = lines.select("h1", "h2", "doc_id", "line_no")
-    seen = C.materialize(pairs, "near-lines")
-    ends = seen.join(at.toDF("x1", "x2", "xd", "xl"), ["x1", "x2"]).join(at.toDF("y1", "y2", "yd", "yl"), ["y1", "y2"])
-    later = F.when(F.expr("struct(xd, xl) < struct(yd, yl)"), F.struct(F.col("yd").alias("d"), F.col("yl").alias("l"))).otherwise(F.struct(F.col("xd").alias("d"), F.col("xl").alias("l")))
-    near = ends.select(later.alias("s")).select(F.col("s.d").alias("doc_id"), F.col("s.l").alias("line_no")).distinct().withColumn("near", F.lit(True))
-    marked = at.select("doc_id", "line_no").join(near, ["doc_id", "line_no"], "left")
+    near = C.materialize(near_lines(lines, t, edit_chars), "near-lines")
+    marked = lines.select("h1", "h2", "doc_id", "line_no").join(near.withColumn("near", F.lit(True)), ["h1", "h2"], "left")
     kept = marked.groupBy("doc_id").agg(F.collect_list(F.when(F.col("near").isNull(), F.col("line_no"))).alias("kept"), F.count("near").alias("n_near"))
-    return C.materialize(kept.withColumnRenamed("doc_id", "id"), "kept-lines")
-
-
-def rewrite_lines(docs: DataFrame, t: int = DISTANCE, least_length: int = LEAST_LENGTH) -> DataFrame:
-    """docs and the struct _lines: n_lines, n_removed, n_near and kept_text (null for a null text); see dedup_lines()."""
-    keyed = C.row_keys(docs, "_id")
-    kept = kept_lines(keyed.select(F.col("_id").alias("doc_id"), "text"), t, least_length).select(F.col("id").alias("_id"), F.struct("kept", "n_near").alias("_kept"))
-    rows = keyed.join(kept, "_id", "left")
-    rows = rows.withColumn("_all", F.coalesce(F.split("text", "\n"), F.array().cast("array<string>"))).withColumn("_stay", F.coalesce("_kept.kept", F.array().cast("array<int>")))
-    rows = rows.withColumn("_left", F.filter("_all", lambda x, i: (F.trim(x) == "") | F.array_contains(F.col("_stay"), i)))
-    n_lines = F.size(F.filter("_all", lambda x: F.trim(x) != "")).cast("long")
-    n_removed = F.size("_all").cast("long") - F.size("_left")
-    found = F.struct(n_lines.alias("n_lines"), n_removed.alias("n_removed"), F.coalesce("_kept.n_near", F.lit(0)).alias("n_near"), F.when(F.col("text").isNotNull(), F.array_join("_left", "\n")).alias("kept_text"))
-    return rows.select(*docs.columns, found.alias("_lines"))
-
-
-def dedup_lines(docs: DataFrame, t: int = DISTANCE, least_length: int = LEAST_LENGTH) -> DataFrame:
-    """Keeps of every line its first occurrence (by doc_id, text, then place), unless a line within edit distance t occurs first before that.
-
-    Lines of fewer than least_length characters are compared for equality only; blank lines are neither counted nor removed. Judged on the input: a line
-    that is removed still removes others. Returns one row per row of docs: doc_id, n_lines, n_removed, n_near (of these, first occurrences that only a near line
+    out = C.materialize(kept.withColumnRenamed("doc_id", "id"), "kept-lines")
+    C.discard_since(docs.sparkSession, mark, out)
+    return out
+
+
+def rewrite_lines(docs: DataFrame, found: str, t: int = DISTANCE, edit_chars: int = EDIT_CHARS) -> DataFrame:
+    """docs and a struct of the name `found`, which docs doesn't have: n_lines, n_removed, n_near and kept_text (null for a null text); see dedup_lines()."""
+    key = C.free_name(docs, "row_key")
+    keyed = C.row_keys(docs, key)
+    kept = kept_lines(keyed.select(F.col(key).alias("doc_id"), "text"), t, edit_chars).select(F.col("id").alias(key), F.struct("kept", "n_near").alias(found))
+    rows = keyed.join(kept, key, "left")
+    every = F.coalesce(F.split("text", "\n"), F.array().cast("array<string>"))
+    rows = rows.withColumn(found, F.struct(every.alias("every"), F.coalesce(F.col(f"{found}.kept"), F.array().cast("array<int>")).alias("stay"), F.col(f"{found}.n_near").alias("n_near"), F.col("text").isNotNull().alias("some")))
+    lines = F.col(f"{found}.every")
+    blank = F.filter(F.transform(lines, lambda x, i: F.when(F.trim(x) == "", i)), lambda i: i.isNotNull())
+    rows = rows.withColumn(found, F.struct(lines.alias("every"), F.sort_array(F.concat(f"{found}.stay", blank)).alias("left"), (F.size(lines) - F.size(blank)).cast("long").alias("n_lines"), F.col(f"{found}.n_near").alias("n_near"), F.col(f"{found}.some").alias("some")))
+    text = F.array_join(F.transform(f"{found}.left", lambda i: F.get(F.col(f"{found}.every"), i)), "\n")
+    result = F.struct(F.col(f"{found}.n_lines").alias("n_lines"), (F.size(f"{found}.every") - F.size(f"{found}.left")).cast("long").alias("n_removed"), F.coalesce(F.col(f"{found}.n_near"), F.lit(0)).alias("n_near"), F.when(F.col(f"{found}.some"), text).alias("kept_text"))
+    return rows.select(*docs.columns, result.alias(found))
+
+
+def dedup_lines(docs: DataFrame, t: int = DISTANCE, edit_chars: int = EDIT_CHARS) -> DataFrame:
+    """Keeps of every line its first occurrence (by doc_id, text, then place), unless a near line occurs first before that.
+
+    Lines are near within one edit for every edit_chars characters of the shorter one, but t at most; so shorter lines than that only equal others. Blank lines are neither counted nor
+    removed. Judged on the input: a line that is removed still removes others. Returns one row per row of docs: doc_id, n_lines, n_removed, n_near (of these, first occurrences that only a near line
     removes), kept_text (the lines that stay, joined by newlines; a null text stays null). Rows that share a doc_id, or have none, come
     in the order of their texts, each with lines of its own, so all but the first of equal rows lose their lines; other columns are ignored.
     """
-    return rewrite_lines(docs.select("doc_id", "text"), t, least_length).select("doc_id", "_lines.*")
+    return rewrite_lines(docs.select("doc_id", "text"), "lines", t, edit_chars).select("doc_id", "lines.*")

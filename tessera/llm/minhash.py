@@ -1,13 +1,15 @@
 """Near-duplicate documents by improved consistent weighted sampling (S. Ioffe, 2010) over TF-IDF shingles.
 
-1. Slices (ranges of doc_id) send the distinct shingles of their documents to buckets of the hash space, once a slice however
-   many documents hold them; buckets add up document frequencies and answer each slice, in the order it sent.
-2. A slice weighs its documents' shingles, draws the consistent weighted samples, and writes a sketch per text: band hashes, total
-   weight, and the weights of the shingles that other documents have too. Of equal texts one is sketched.
-3. Of each band's bucket every document is verified by weighted Jaccard similarity against the least one and against the one that meets most others;
-   components of these links are formed. Where documents of one bucket are in different components after that, they are verified against one more and then all pairs are, if enough of all their
-   samples agree (as they do, but for one pair in ten thousand, at the threshold) and parities of their shingles allow a link; pairs inside a component can't change it. So a group of copies costs a few pairs
-   for each of its documents, and documents that only share a passage make hardly any.
+1. Of equal texts one is looked at. Slices (ranges of doc_id) send the distinct shingles of their texts to buckets of the hash space, once a slice however
+   many texts hold them; buckets add up document frequencies and answer each slice, in the order it sent.
+2. A slice weighs its texts' shingles by count and idf. What a text shares with others can't exceed the weight of its shingles that other texts have; where that is below
+   the threshold it is alone, which settles most texts. For the others consistent weighted samples are drawn, and a sketch is written: band hashes, whole and shared weight, the
+   weights of the shared shingles, and its prefix (see prefixes()).
+3. Of each band's bucket every text is verified by weighted Jaccard similarity against the least one and against the one that meets most others;
+   components of these links are formed. Pairs inside a component can't change it, so a group of copies costs a few pairs for each of its texts.
+4. Texts of a bucket that are in different components then meet again under the rarest of their shingles, in whose order two similar texts must share one early on. They are
+   verified against one text of each such group, and what is still in different components pair by pair, if their weights allow a link. All filters are bounds that lose no link
+   of two texts that share a bucket.
 """
 
 from __future__ import annotations
@@ -24,18 +26,16 @@ from .graph import components
 from .suffix_dedup import sorted_docs
 
 ROWS, BANDS = 3, 14
-#: How much the least frequent shingle weighs more than one that is in every document. Much more would part large groups of near copies, whose
-#: common shingles are frequent by their number alone.
-IDF = 0.05
+#: How much more than 1, the weight of a shingle that is in every text, the rarest one weighs. The common shingles of a large group of near copies are frequent by its size alone,
+#: so a larger spread parts such groups.
+IDF = 0.5
 #: Shingles of a bucket of the document-frequency exchange.
 BUCKET_SHINGLES = 2_000_000
-#: Rounds of links inside buckets after the first; all pairs of different components are compared in the last.
-ROUNDS = 2
-#: Deviations by which a pair's agreeing samples may fall short of what the threshold makes expect before it is passed over.
-DEVIATIONS = 4.0
-#: 64-bit words of a text's shingle parities.
-PARITY = 16
+#: 64-bit words of the parities of a text's shared shingles.
+PARITY = 4
 PARITIES = [f"d{i}" for i in range(PARITY)]
+#: What bounds on sums of weights allow for rounding.
+ROUNDING = 1e-5
 
 
 def shingles(data, offsets, k: int):
@@ -99,9 +99,24 @@ def samples(value: np.ndarray, weight: np.ndarray, at: np.ndarray, k: int) -> np
     return out
 
 
-def idf(df: np.ndarray, n: int) -> np.ndarray:
-    """From 1 (in every document) to 1 + IDF, by the logarithm of the document frequency."""
-    return 1 + IDF * np.log((n + 1) / (np.minimum(df, n) + 1)) / np.log(n + 1) if n > 0 else np.ones(len(df))
+def idf(df: np.ndarray, n: int, spread: float = IDF) -> np.ndarray:
+    """From 1 (in every text) to 1 + spread, by the logarithm of the document frequency."""
+    return 1 + spread * np.log((n + 1) / (np.minimum(df, n) + 1)) / np.log(n + 1) if n > 0 else np.ones(len(df))
+
+
+def prefixes(value: np.ndarray, weight: np.ndarray, df: np.ndarray, at: np.ndarray, total: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of each text the shared shingles that come before the share 1 - threshold of its weight, rarest first (by df, then hash), and the offsets of the texts.
+
+    Two texts at the threshold have a shingle in both prefixes: all that comes before the first one they share is lost to their similarity.
+    """
+    of = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    order = np.lexsort((value, df, of))
+    w = weight[order].astype(np.float64)
+    before = np.cumsum(w) - w
+    if len(w):
+        before -= before[np.minimum(at[:-1], len(w) - 1)][of]
+    keep = (before <= ((1 - threshold) * (1 + ROUNDING) * total + ROUNDING)[of]) & (df[order] > 1)
+    return value[order][keep], np.concatenate([[0], np.cumsum(np.bincount(of[keep], minlength=len(at) - 1))])
 
 
 def similarity(keys_a, weights_a, total_a, keys_b, weights_b, total_b) -> float:
@@ -114,10 +129,32 @@ def similarity(keys_a, weights_a, total_a, keys_b, weights_b, total_b) -> float:
     return both / (total_a + total_b - both)
 
 
-def sketch(docs: DataFrame, k: int = 5, rows: int = ROWS, bands: int = BANDS, slice_bytes: int = 6 << 20) -> tuple[DataFrame, DataFrame]:
-    """Sketches (doc_id, total, bands, c0 .. c2: three bits of each sample, keys, weights, d0 ..: see difference()) of one document of each group of equal texts, and the others (doc_id, same_as)."""
+def parities(value: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
+    """Parities of the numbers of a text's distinct shingles that fall on each of 64 * PARITY places: n texts x PARITY words.
+
+    A shingle that only one of two texts has changes one place, so the places that differ are never more than such shingles.
+    """
+    place = C.mix(value ^ np.uint64(0x5DEECE66D))
+    out = np.zeros((n, PARITY), np.uint64)
+    np.bitwise_xor.at(out, (of, ((place >> np.uint64(6)) % np.uint64(PARITY)).astype(np.int64)), np.uint64(1) << (place & np.uint64(63)))
+    return out.view(np.int64)
+
+
+def may_link(threshold: float) -> str:
+    """That texts x and y in different components may reach the threshold, as SQL; no link is lost.
+
+    The weight that only one of them has is (1 - t) / (1 + t) of both weights at most. It includes what no other text has, and 1 or more for each
+    shared shingle that only one of them has.
+    """
+    places = " + ".join(f"bit_count(x.{d} ^ y.{d})" for d in PARITIES)
+    most = (1 - threshold) / (1 + threshold) * (1 + ROUNDING)
+    return f"x.component <> y.component and x.total - x.common + y.total - y.common + {places} <= {most} * (x.total + y.total) + {ROUNDING}"
+
+
+def sketch(docs: DataFrame, k: int = 5, threshold: float = 0.8, rows: int = ROWS, bands: int = BANDS, spread: float = IDF, slice_bytes: int = 6 << 20) -> tuple[DataFrame, DataFrame]:
+    """Of docs (doc_id without nulls or repeats, text): sketches (doc_id, total, common, bands, prefix, keys, weights) of one document of each group of equal texts, if
+    its shared shingles allow a link, and the others (doc_id, same_as)."""
     C.configure(docs.sparkSession)
-    docs = docs.select(F.coalesce("doc_id", F.lit(C.LEAST_LONG)).alias("doc_id"), "text")
     bounds, n, size = C.slice_bounds(docs, slice_bytes)
     sliced = C.with_slices(docs, bounds)
     p = max(6, int(size / 6 / BUCKET_SHINGLES).bit_length())
@@ -125,8 +162,15 @@ def sketch(docs: DataFrame, k: int = 5, rows: int = ROWS, bands: int = BANDS, sl
 
     hashed = docs.filter(F.col("text").rlike(r"[^\x20\x09-\x0D]")).select("doc_id", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(7), "text").alias("h2"))
     heads = C.materialize(hashed.groupBy("h1", "h2").agg(F.min("doc_id").alias("same_as"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "equal", False)
-    copies = C.materialize(hashed.join(heads, ["h1", "h2"]).filter("doc_id <> same_as").groupBy("doc_id").agg(F.min("same_as").alias("same_as")), "copies", False)
-    skipped = copies.select("doc_id", C.at_position(bounds, F.col("doc_id")).alias("slice")).groupBy("slice").agg(F.collect_list("doc_id").alias("skip"))
+    copies = C.materialize(hashed.join(heads, ["h1", "h2"]).filter("doc_id <> same_as").select("doc_id", "same_as"), "copies", False)
+    C.discard(heads)
+    skipped = copies.select(C.at_position(bounds, F.col("doc_id")).alias("slice"), "doc_id").groupBy("slice").agg(F.collect_list("doc_id").alias("skip"))
+
+    def live(t, skips):
+        """The slice's texts that are no copies, in order."""
+        skip = [np.asarray(ids, np.int64) for ids in skips if ids]
+        t = sorted_docs(t)
+        return t.filter(pa.array(~np.isin(t.column("doc_id").to_numpy(), np.concatenate(skip)))) if skip else t
 
     def slice_shingles(t):
         data, offsets = C.text_bytes(t.column("text"))
@@ -139,8 +183,8 @@ def sketch(docs: DataFrame, k: int = 5, rows: int = ROWS, bands: int = BANDS, sl
         value = [v for _, _, _, v, _, _ in slice_shingles(t)]
         return np.unique(np.concatenate([np.zeros(0, np.uint64), *value]) >> low, return_counts=True)
 
-    def send(key, t):
-        u, count = distinct(sorted_docs(t))
+    def send(key, t, r):
+        u, count = distinct(live(t, r.column("skip").to_pylist()))
         bucket = (u >> np.uint64(32)).astype(np.int64)
         edge = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1)) if len(u) else np.zeros(1, np.int64)
         ranges = list(zip(edge[:-1], edge[1:], strict=True))
@@ -159,76 +203,47 @@ def sketch(docs: DataFrame, k: int = 5, rows: int = ROWS, bands: int = BANDS, sl
         out = np.split(df, np.cumsum([len(b) for b in blobs])[:-1])
         return pa.table({"slice": t.column("slice"), "bucket": t.column("bucket"), "shared": pa.array([np.packbits(x > 1).tobytes() for x in out], pa.binary()), "df": pa.array([x[x > 1].view(np.uint8).reshape(-1, 4).T.tobytes() for x in out], pa.binary())})
 
-    frequencies = C.materialize(sliced.groupBy("slice").applyInArrow(send, "bucket int, slice int, keys binary, many binary").groupBy("bucket").applyInArrow(answer, "slice int, bucket int, shared binary, df binary"), "frequencies")
+    sent = sliced.groupBy("slice").cogroup(skipped.groupBy("slice")).applyInArrow(send, "bucket int, slice int, keys binary, many binary")
+    frequencies = C.materialize(sent.groupBy("bucket").applyInArrow(answer, "slice int, bucket int, shared binary, df binary"), "frequencies")
     replies = frequencies.withColumn("skip", F.lit(None).cast("array<bigint>")).unionByName(skipped.select("slice", F.lit(-1).alias("bucket"), F.lit(None).cast("binary").alias("shared"), F.lit(None).cast("binary").alias("df"), "skip"))
+    columns = {"doc_id": pa.int64(), "total": pa.float64(), "common": pa.float64(), "bands": pa.list_(pa.int64()), "prefix": pa.list_(pa.int64()), "keys": pa.binary(), "weights": pa.binary(), **dict.fromkeys(PARITIES, pa.int64())}
 
     def draw(key, t, r):
-        t = sorted_docs(t)
+        t = live(t, r.column("skip").to_pylist())
         u, _ = distinct(t)
         bucket = (u >> np.uint64(32)).astype(np.int64)
         df = np.ones(len(u), np.int64)
-        skip: set = set()
-        for b, shared, frequency, ids in zip(*(r.column(c).to_pylist() for c in ("bucket", "shared", "df", "skip")), strict=True):
+        for b, shared, frequency in zip(*(r.column(c).to_pylist() for c in ("bucket", "shared", "df")), strict=True):
             if b < 0:
-                skip.update(ids)
                 continue
             a, z = np.searchsorted(bucket, [b, b + 1])
             where = a + np.flatnonzero(np.unpackbits(np.frombuffer(shared, np.uint8), count=z - a))
             df[where] = np.frombuffer(frequency, np.uint8).reshape(4, -1).T.copy().view("<u4").ravel()
-        doc_ids = t.column("doc_id").to_pylist()
-        out: list[list] = [[] for _ in range(8 + PARITY)]
-        seen = set()
+        ids = t.column("doc_id").to_numpy()
+        out: list[list] = [[] for _ in columns]
         for i, j, of, value, count, at in slice_shingles(t):
-            live = np.array([d not in skip for d in doc_ids[i:j]])
-            sel = live[of]
-            of, value, count = of[sel], value[sel], count[sel]
-            at = np.searchsorted(of, np.arange(j - i + 1))
             f = df[np.searchsorted(u, value >> low)]
-            weight = (count * idf(f, n)).astype(np.float32)
+            weight = (count * idf(f, n, spread)).astype(np.float32)
+            total, common = (np.bincount(of, weights=w, minlength=j - i) for w in (weight.astype(np.float64), np.where(f > 1, weight, 0).astype(np.float64)))
+            some = (common >= threshold * (1 - ROUNDING) * total) & (total > 0)
+            kept = some[of]
+            value, weight, f = value[kept], weight[kept], f[kept]
+            at = np.concatenate([[0], np.cumsum(np.diff(at)[some])])
             codes = samples(value, weight, at, rows * bands)
             band = np.stack([C.mix(sum(codes[:, b * rows + q] * np.uint64(2 * q + 3) for q in range(rows)) + np.uint64(b)) for b in range(bands)], axis=1).view(np.int64)
-            k_bits = np.uint64(1) << np.arange(min(64, rows * bands), dtype=np.uint64)
-            bits = [(((codes[:, : len(k_bits)] >> np.uint64(q)) & np.uint64(1)) * k_bits).sum(axis=1).view(np.int64) for q in (7, 23, 41)]
-            parity = difference(value, of, j - i)
-            total = np.add.reduceat(np.append(weight.astype(np.float64), 0.0), np.minimum(at[:-1], len(weight)))
-            for d in range(j - i):
+            of = np.repeat(np.arange(len(at) - 1), np.diff(at))
+            parity = parities(value[f > 1], of[f > 1], len(at) - 1)
+            first, first_at = prefixes(value, weight, f, at, total[some], threshold)
+            for d, row in enumerate(np.flatnonzero(some).tolist()):
                 a, z = at[d], at[d + 1]
-                if a == z or doc_ids[i + d] in seen:
-                    continue
-                seen.add(doc_ids[i + d])
-                common = f[a:z] > 1
-                for column, x in zip(out, (doc_ids[i + d], float(total[d]), band[d], int(bits[0][d]), int(bits[1][d]), int(bits[2][d]), value[a:z][common].tobytes(), weight[a:z][common].tobytes(), *map(int, parity[d])), strict=True):
+                shared = f[a:z] > 1
+                for column, x in zip(out, (int(ids[i + row]), float(total[row]), float(common[row]), band[d], first[first_at[d] : first_at[d + 1]].view(np.int64), value[a:z][shared].tobytes(), weight[a:z][shared].tobytes(), *map(int, parity[d])), strict=True):
                     column.append(x)
-        return pa.table([pa.array(c, x) for c, x in zip(out, (pa.int64(), pa.float64(), pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), *[pa.int64()] * PARITY), strict=True)], names=["doc_id", "total", "bands", "c0", "c1", "c2", "keys", "weights", *PARITIES])
+        return pa.table([pa.array(c, x) for c, x in zip(out, columns.values(), strict=True)], names=list(columns))
 
-    sketches = sliced.groupBy("slice").cogroup(replies.groupBy("slice")).applyInArrow(draw, "doc_id long, total double, bands array<bigint>, c0 long, c1 long, c2 long, keys binary, weights binary, " + ", ".join(f"{d} long" for d in PARITIES))
-    return C.materialize(sketches, "sketches"), copies
-
-
-def difference(value: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
-    """Parities of the numbers of a text's distinct shingles that fall on each of 64 * PARITY places: n texts x PARITY words.
-
-    A shingle that only one of two texts has changes one place, so the places that differ are never more than such shingles.
-    """
-    place = C.mix(value ^ np.uint64(0x5DEECE66D))
-    out = np.zeros((n, PARITY), np.uint64)
-    np.bitwise_xor.at(out, (of, ((place >> np.uint64(6)) % np.uint64(PARITY)).astype(np.int64)), np.uint64(1) << (place & np.uint64(63)))
-    return out.view(np.int64)
-
-
-def most_difference(threshold: float) -> str:
-    """That x and y differ in no more shingles than the threshold allows, as SQL; no link is lost.
-
-    The weights of the union less those both have are (1 - t) / (1 + t) of both totals at most, and no weight is below 1. A hundredth is added for rounding.
-    """
-    places = " + ".join(f"bit_count(x.d{i} ^ y.d{i})" for i in range(PARITY))
-    return f"{places} <= {1.01 * (1 - threshold) / (1 + threshold)} * (x.total + y.total)"
-
-
-def least_agreement(threshold: float, n: int) -> int:
-    """Of n samples, of which three bits are compared, how many must agree."""
-    p = threshold + (1 - threshold) / 8
-    return max(0, int(n * p - DEVIATIONS * (n * p * (1 - p)) ** 0.5))
+    sketches = C.materialize(sliced.groupBy("slice").cogroup(replies.groupBy("slice")).applyInArrow(draw, "doc_id long, total double, common double, bands array<bigint>, prefix array<bigint>, keys binary, weights binary, " + ", ".join(f"{d} long" for d in PARITIES)), "sketches")
+    C.discard(frequencies)
+    return sketches, copies
 
 
 def verify(pairs: DataFrame, sketches: DataFrame, threshold: float) -> DataFrame:
@@ -245,47 +260,60 @@ def verify(pairs: DataFrame, sketches: DataFrame, threshold: float) -> DataFrame
     return both.mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
+def _pair(a: str, b: str) -> list:
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+
+
+def _unsettled(rows: DataFrame, parts: DataFrame, group: str) -> DataFrame:
+    """rows (group, doc_id, ...) with their component, of the groups that hold more than one."""
+    placed = C.materialize(rows.join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")), "placed", False)
+    mixed = placed.groupBy(group).agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select(group)
+    return placed.join(C.materialize(mixed, "mixed", False), group)
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8, rows: int = ROWS, bands: int = BANDS, spread: float = IDF) -> DataFrame:
     """Groups documents whose TF-IDF weighted shingle sets have a weighted Jaccard similarity of `threshold` or more.
 
     Returns one row per distinct doc_id: doc_id, component_id (the least doc_id of its group of linked documents, itself included) and
     kept (whether it is that document). Equal texts are linked, null texts and those without words are not (each is kept); a text of fewer than k words
-    is one shingle. Rows that share a doc_id are one document, described by the first of their texts; a null doc_id is returned as null.
+    is one shingle. spread is that of idf(). Rows that share a doc_id are one document, described by the least of their texts; a null doc_id is returned as null.
     Other columns are ignored.
     """
-    sketches, copies = sketch(docs, k, rows, bands)
-    light = ["doc_id", "total", "c0", "c1", "c2"]
-    in_bands = sketches.select(*light, F.posexplode("bands").alias("band", "code")).select(*light, F.xxhash64("band", "code").alias("bucket"))
+    docs = docs.select(F.coalesce("doc_id", F.lit(C.LEAST_LONG)).alias("doc_id"), "text")
+    if docs.groupBy("doc_id").count().filter("count > 1").head(1):
+        docs = C.materialize(docs.groupBy("doc_id").agg(F.min("text").alias("text")), "one-row-each")
+    sketches, copies = sketch(docs, k, threshold, rows, bands, spread)
+    in_bands = sketches.select("doc_id", F.posexplode("bands").alias("band", "code")).select("doc_id", F.xxhash64("band", "code").alias("bucket"))
     heads = C.materialize(in_bands.groupBy("bucket").agg(F.min("doc_id").alias("head"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "heads", False)
     hits = C.materialize(in_bands.join(heads, "bucket"), "hits")
     # the document that meets most others is the likeliest origin of a group of copies: besides the least, it is compared with its buckets' documents
     scores = C.materialize(hits.groupBy("doc_id").agg(F.sum("n").alias("score")), "scores", False)
     origins = C.materialize(hits.filter("n > 2").join(scores, "doc_id").groupBy("bucket").agg(F.max(F.struct("score", "doc_id")).alias("o")).select("bucket", F.col("o.doc_id").alias("origin")), "origins", False)
-    pair = lambda p: F.struct(F.least(p, "doc_id").alias("a"), F.greatest(p, "doc_id").alias("b"))
-    star = hits.select(pair("head").alias("p")).unionByName(hits.join(origins, "bucket").select(pair("origin").alias("p")))
-    tried = C.materialize(star.select("p.a", "p.b").filter("a <> b").distinct(), "pairs", False)
+    star = hits.select(*_pair("head", "doc_id")).unionByName(hits.join(origins, "bucket").select(*_pair("origin", "doc_id")))
+    tried = C.materialize(star.filter("a <> b").distinct(), "pairs", False)
     links = C.materialize(verify(tried, sketches, threshold), "links")
-    n = min(64, rows * bands)
-    agree = f"bit_count({(1 << n) - 1 if n < 64 else -1}L & ~(x.c0 ^ y.c0) & ~(x.c1 ^ y.c1) & ~(x.c2 ^ y.c2)) >= {least_agreement(threshold, n)}"
-    alike = f"x.component <> y.component and least(x.total, y.total) >= {threshold} * greatest(x.total, y.total) and {agree}"
-    for round_ in range(ROUNDS):
-        parts = C.materialize(components(links), "parts", False)
-        placed = hits.select("bucket", *light).join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-        placed = C.materialize(placed, "placed", False)
-        pivot = F.max(F.struct(F.xxhash64("doc_id", F.lit(round_)), *light, "component"))
-        mixed = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), pivot.alias("pivot")).filter("lo < hi").select("bucket", "pivot")
-        mixed = C.materialize(mixed, "mixed", False)
-        rest = C.materialize(placed.join(mixed.select("bucket"), "bucket"), "rest", False)
-        if round_ < ROUNDS - 1:  # against one more document of each bucket
-            more = mixed.select("bucket", "pivot.*").alias("x").join(rest.alias("y"), F.expr(f"x.bucket = y.bucket and {alike}")).select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b"))
-        else:  # all pairs that are left
-            rest = C.materialize(rest.join(sketches.select("doc_id", *PARITIES), "doc_id"), "rest", False)
-            more = rest.alias("x").join(rest.alias("y"), F.expr(f"x.bucket = y.bucket and x.doc_id < y.doc_id and {alike} and {most_difference(threshold)}")).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
-        more = C.materialize(more.distinct().join(tried, ["a", "b"], "left_anti"), "more", False)
-        links = C.materialize(links.unionByName(verify(more, sketches, threshold)), "links")
-        tried = C.materialize(tried.unionByName(more), "tried", False)
-    every = links.unionByName(copies.select(F.col("same_as").alias("a"), F.col("doc_id").alias("b")))
-    groups = C.materialize(components(every), "groups")
-    ids = docs.select(F.coalesce("doc_id", F.lit(C.LEAST_LONG)).alias("node")).distinct()
+
+    # what shares a bucket but not a component meets under its prefix
+    parts = C.materialize(components(links), "parts", False)
+    left = C.materialize(_unsettled(hits.select("bucket", "doc_id"), parts, "bucket").select("doc_id").distinct(), "unsettled", False)
+    meeting = sketches.join(left, "doc_id").select("doc_id", "total", "common", *PARITIES, F.explode("prefix").alias("key"))
+    meeting = C.materialize(_unsettled(meeting, parts, "key"), "meeting", False)
+    allowed = may_link(threshold)
+    pivots = C.materialize(meeting.groupBy("key").agg(F.max(F.struct("common", "doc_id", "total", "component", *PARITIES)).alias("p")).select("key", "p.*"), "pivots", False)
+    more = pivots.alias("x").join(meeting.alias("y"), F.expr(f"x.key = y.key and {allowed}")).select(*_pair("x.doc_id", "y.doc_id")).distinct()
+    more = C.materialize(more.join(tried, ["a", "b"], "left_anti"), "more", False)
+    links = C.materialize(links.unionByName(verify(more, sketches, threshold)), "links")
+    tried = C.materialize(tried.unionByName(more), "tried", False)
+    parts = C.materialize(components(links), "parts", False)
+    meeting = C.materialize(_unsettled(meeting.drop("component"), parts, "key"), "meeting", False)
+    more = meeting.alias("x").join(meeting.alias("y"), F.expr(f"x.key = y.key and x.doc_id < y.doc_id and {allowed}")).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
+    more = C.materialize(more.join(tried, ["a", "b"], "left_anti"), "more", False)
+    found = C.materialize(verify(more, sketches, threshold), "links")
+    if found.head(1):
+        parts = C.materialize(components(links.unionByName(found)), "parts", False)
+
+    same = copies.join(parts.withColumnRenamed("node", "same_as"), "same_as", "left").select(F.col("doc_id").alias("node"), F.coalesce("component", "same_as").alias("component"))
+    groups = C.materialize(parts.unionByName(same), "groups")
     back = lambda c: F.nullif(c, F.lit(C.LEAST_LONG))
-    return ids.join(groups, "node", "left").select(back(F.col("node")).alias("doc_id"), back(F.coalesce("component", "node")).alias("component_id"), (F.coalesce("component", "node") == F.col("node")).alias("kept"))
+    out = docs.select(F.col("doc_id").alias("node")).join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    return out.select(back(F.col("node")).alias("doc_id"), back(F.col("component")).alias("component_id"), (F.col("component") == F.col("node")).alias("kept"))

@@ -29,7 +29,7 @@ def op3_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents"), t=2, least_length=32)
+    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents"), t=2, edit_chars=16)
     return out.select("doc_id", "n_lines", "n_removed", "n_near", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 

@@ -14,8 +14,8 @@ A suffix starts at every word that has at least `window` words from it to the en
    all its leaves but the earliest start a repeat. The group answers each slice with one bit a path.
 4. Slices meet their answers; overlapping windows unite to the maximal repeats, whose words are removed.
 
-Two different windows are taken for equal only if their 64-bit fingerprints and groups agree (below 1e-3 expected pairs for 1e8
-suffixes); `path_bits=128` makes the paths twice as long for larger corpora.
+Two different windows are taken for equal only if their 64-bit fingerprints and groups agree. Words and windows are hashed without a linear structure, so that is left to
+chance, and as groups grow in number with the corpus it doesn't grow faster than the corpus: about 6e-14 pairs for each suffix. `path_bits=128` makes the paths twice as long.
 """
 
 from __future__ import annotations
@@ -138,12 +138,32 @@ def remove_repeats(docs: DataFrame, window: int = 20, slice_bytes: int = 6 << 20
     rows) are ordered by their text, so all but the first of equal rows lose their windows; a null doc_id comes before all.
     Other columns of docs are ignored, whatever their names.
     """
+    return _repeats(docs.select("doc_id", "text"), True, window, slice_bytes, group_suffixes, least_groups, path_bits).select(F.col("c0").alias("doc_id"), "n_words", "n_removed", F.coalesce("kept", F.lit("")).alias("kept_text"))
+
+
+def rewrite_repeats(docs: DataFrame, window: int = 20, **options) -> DataFrame:
+    """docs (doc_id, text, any other columns) with remove_repeats() applied to text where it removes words, and how many it removes in a last column, n_removed or a free name like it.
+
+    Rows take their other columns along to where their texts are rewritten, so nothing is joined.
+    """
+    last = C.free_name(docs, "n_removed")
+    rows = _repeats(docs, False, window, **options)
+    return rows.select(*[(F.col("kept") if c == "text" else F.col(f"c{i}")).alias(c) for i, c in enumerate(docs.columns)], F.col("n_removed").alias(last))
+
+
+def _repeats(docs: DataFrame, anew: bool, window: int = 20, slice_bytes: int = 6 << 20, group_suffixes: int = 2_000_000, least_groups: int = 256, path_bits: int = 64) -> DataFrame:
+    """c0, c1 .. (the columns of docs but text, by their places), n_words, n_removed and kept: the text, put together anew from its kept words if `anew` or where it loses some."""
     spark = docs.sparkSession
     C.configure(spark)
     wide = path_bits > 64
-    docs = docs.select("doc_id", "text")
+    key = C.free_name(docs, "row_key")
+    keyed = C.row_keys(docs, key)
+    others = {f"c{i}": c for i, c in enumerate(docs.columns) if c != "text"}
+    docs = keyed.select(F.col(key).alias("doc_id"), "text", *[F.col(c).alias(i) for i, c in others.items()])
+    kinds = dict(docs.dtypes)
     first, split, n_groups = plan_groups(prefix_counts(docs, window), group_suffixes, least_groups)
-    sliced = C.with_slices(docs, C.slice_bounds(docs, slice_bytes)[0])
+    bounds = C.slice_bounds(docs, slice_bytes)[0]
+    sliced = docs.withColumn("slice", C.at_position(bounds, F.col("doc_id")))
 
     def send(key, t):
         _, groups, paths, _, _ = _slice_paths(sorted_docs(t), window, first, split, wide)
@@ -160,7 +180,7 @@ def remove_repeats(docs: DataFrame, window: int = 20, slice_bytes: int = 6 << 20
         ends = np.cumsum(sizes)
         return pa.table({"slice": pa.array(of, pa.int32()), "grp": pa.array(np.full(len(of), key[0].as_py()), pa.int32()), "bits": pa.array([np.packbits(repeat[e - n : e]).tobytes() for e, n in zip(ends, sizes, strict=True)], pa.binary())})
 
-    answers = C.materialize(sliced.groupBy("slice").applyInArrow(send, "grp int, slice int, paths binary").groupBy("grp").applyInArrow(answer, "slice int, grp int, bits binary"), "repeats")
+    answers = C.materialize(sliced.select("doc_id", "text", "slice").groupBy("slice").applyInArrow(send, "grp int, slice int, paths binary").groupBy("grp").applyInArrow(answer, "slice int, grp int, bits binary"), "repeats")
 
     def remove(key, t, replies):
         t = sorted_docs(t)
@@ -179,15 +199,22 @@ def remove_repeats(docs: DataFrame, window: int = 20, slice_bytes: int = 6 << 20
             edge[hit + window] -= 1
             keep = np.cumsum(edge[:-1]) == 0
             count = np.concatenate([[0], np.cumsum(keep)])
-            s, n = starts[keep], lengths[keep] + 1
+            lost = np.diff(at) - np.diff(count[at])
+            written = np.ones(len(lost), bool) if anew else lost > 0
+            mine = keep & np.repeat(written, np.diff(at))
+            place = np.concatenate([[0], np.cumsum(mine)])[at]
+            s, n = starts[mine], lengths[mine] + 1
             first_byte = np.concatenate([[0], np.cumsum(n)])
             out = data[np.minimum(np.repeat(s - first_byte[:-1], n) + np.arange(first_byte[-1]), max(len(data) - 1, 0))] if len(s) else np.zeros(0, np.uint8)
             out[first_byte[1:] - 1] = 32
-            cuts = first_byte[count[at]]
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                kept.append(out[a : max(a, b - 1)].tobytes().decode())
+            cuts = first_byte[place]
+            for a, b, w in zip(cuts[:-1], cuts[1:], written, strict=True):
+                kept.append(out[a : max(a, b - 1)].tobytes().decode() if w else None)
             n_words.append(np.diff(at))
-            n_removed.append(np.diff(at) - np.diff(count[at]))
-        return pa.table({"doc_id": t.column("doc_id"), "n_words": np.concatenate([np.zeros(0, np.int64), *n_words]), "n_removed": np.concatenate([np.zeros(0, np.int64), *n_removed]), "kept_text": pa.array(kept, pa.string())})
+            n_removed.append(lost)
+        n_words, n_removed = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (n_words, n_removed))
+        rewritten = pc.if_else(pa.array(n_removed > 0) if not anew else pa.array(np.ones(len(kept), bool)), pa.array(kept, pa.string()), t.column("text").cast(pa.string()))
+        return pa.table({c: t.column(c) for c in others} | {"n_words": n_words, "n_removed": n_removed, "kept": rewritten})
 
-    return sliced.groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(remove, "doc_id long, n_words long, n_removed long, kept_text string")
+    schema = "".join(f"{c} {kinds[c]}, " for c in others) + "n_words long, n_removed long, kept string"
+    return sliced.groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(remove, schema)

@@ -107,9 +107,14 @@ def distance(a, b):
     return row[-1]
 
 
+def near(a, b):
+    most = min(2, min(len(a), len(b)) // 16)
+    return abs(len(a) - len(b)) <= most and distance(a, b) <= most
+
+
 def test_line_dedup(spark):
     rng = random.Random(2)
-    base = ["".join(rng.choice("abcdé ") for _ in range(rng.randint(36, 60))).strip() + "." for _ in range(25)]
+    base = ["".join(rng.choice("abcdé ") for _ in range(rng.randint(*rng.choice([(36, 60), (10, 36)])))).strip() + "." for _ in range(25)]
 
     def edit(s, n):
         for _ in range(n):
@@ -119,7 +124,7 @@ def test_line_dedup(spark):
 
     docs = [(d, "\n".join(rng.choice([lambda: edit(rng.choice(base), rng.randint(0, 4)), lambda: rng.choice(["", " ", "ab"]), lambda: rng.choice(base)])() for _ in range(8))) for d in range(30)]
     docs += [(100, None), (101, ""), (102, "x" * 5000 + "\n" + "x" * 4999 + "y")]
-    got = {r.doc_id: r for r in line_dedup.dedup_lines(frame(spark, docs), 2, 32).collect()}
+    got = {r.doc_id: r for r in line_dedup.dedup_lines(frame(spark, docs), 2, 16).collect()}
     first = []
     for d, t in docs:
         kept = []
@@ -127,9 +132,9 @@ def test_line_dedup(spark):
             if not line.strip(" "):
                 kept.append(line)
             elif line not in first:
-                near = any(len(line) >= 32 and len(f) >= 32 and abs(len(f) - len(line)) <= 2 and distance(f, line) <= 2 for f in first)
+                alike = any(near(f, line) for f in first)
                 first.append(line)
-                if not near:
+                if not alike:
                     kept.append(line)
         assert got[d].kept_text == ("\n".join(kept) if t is not None else None), d
 
@@ -143,7 +148,7 @@ def lines_left(rows):
             if not line.strip(" "):
                 kept.append(line)
             elif line not in first:
-                if not any(len(line) >= 32 and len(f) >= 32 and abs(len(f) - len(line)) <= 2 and distance(f, line) <= 2 for f in first):
+                if not any(near(f, line) for f in first):
                     kept.append(line)
                 first.append(line)
         out.append((i, "\n".join(kept) if t is not None else None))
@@ -154,12 +159,23 @@ def test_line_dedup_of_repeated_and_null_ids(spark):
     rng = random.Random(9)
     line = lambda: "".join(rng.choice("abcdefgh ") for _ in range(45)) + "."
     x = [line() for _ in range(12)]
-    near = "z" + x[0][1:]
-    rows = [(1, f"{x[0]}\n{x[1]}"), (2, f"{near}\n{x[2]}"), (2, f"{x[3]}\n{x[4]}"), (None, f"{x[5]}\n{x[6]}"), (None, f"{x[7]}\n{x[8]}"), (None, f"{x[5]}\n{x[9]}"), (3, f"{x[10]}\n{x[1]}"), (3, f"{x[11]}\n{x[1]}"), (4, x[2] + "!"), (4, x[2] + "!"), (5, None), (5, "")]
-    got = [(r.doc_id, r.kept_text) for r in line_dedup.dedup_lines(frame(spark, rows), 2, 32).collect()]
+    alike = "z" + x[0][1:]
+    rows = [(1, f"{x[0]}\n{x[1]}"), (2, f"{alike}\n{x[2]}"), (2, f"{x[3]}\n{x[4]}"), (None, f"{x[5]}\n{x[6]}"), (None, f"{x[7]}\n{x[8]}"), (None, f"{x[5]}\n{x[9]}"), (3, f"{x[10]}\n{x[1]}"), (3, f"{x[11]}\n{x[1]}"), (4, x[2] + "!"), (4, x[2] + "!"), (5, None), (5, "")]
+    got = [(r.doc_id, r.kept_text) for r in line_dedup.dedup_lines(frame(spark, rows), 2, 16).collect()]
     assert sorted(got, key=str) == sorted(lines_left(rows), key=str)
 
 
+def test_line_dedup_of_templates_long_documents_and_clashing_columns(spark):
+    rng = random.Random(10)
+    lines = [f"Entry {rng.randrange(10**4):04d} of the common template, as it stands." for _ in range(150)]
+    rows = [(i, "\n".join(lines[i * 10 : i * 10 + 10])) for i in range(15)] + [(20, "\n".join(f"{i}" for i in range(40_000)))]
+    docs = spark.createDataFrame([(i, t, 5, 6, 7) for i, t in rows], "doc_id long, text string, row_key int, lines int, _lines int")
+    out = line_dedup.rewrite_lines(docs, common.free_name(docs, "lines")).collect()
+    assert sorted((r.doc_id, r["__lines"].kept_text) for r in out) == sorted(lines_left(rows[:-1])) + [(20, rows[-1][1])]
+    assert all((r.row_key, r.lines, r["_lines"]) == (5, 6, 7) for r in out)
+    assert line_dedup.dedup_lines(frame(spark, [])).count() == 0
+
+
 def test_minhash(spark):
     rng = random.Random(3)
     words = [f"w{i}" for i in range(3000)]
@@ -195,11 +211,56 @@ def test_minhash_parities_never_exceed_the_difference():
         shared, own = rng.integers(0, 2**64, size, dtype=np.uint64), rng.integers(0, 2**64, size // 2 + 1, dtype=np.uint64)
         value = np.concatenate([shared, shared, own])
         of = np.repeat([0, 1, 1, 2], [size, size, len(own), 0])
-        x, y, empty = minhash.difference(value, of, 3)
+        x, y, empty = minhash.parities(value, of, 3)
         assert 0 < sum(int(v).bit_count() for v in (x ^ y).view(np.uint64)) <= len(own)
         assert not empty.any()
 
 
+def weighted_components(texts, threshold=0.8, spread=minhash.IDF):
+    """The least number of the group of each text by exact weighted Jaccard similarity over all pairs; df over distinct texts."""
+    from collections import Counter
+    from math import log
+
+    def counted(t):
+        w = (t or "").split()
+        return Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4)) or Counter([tuple(w)] if w else [])
+
+    s, n = [counted(t) for t in texts], len(texts)
+    first = {}
+    for i, t in enumerate(texts):
+        first.setdefault(t, i)
+    df = Counter(x for t, i in first.items() for x in s[i])
+    weigh = [{x: k * (1 + spread * log((n + 1) / (min(df[x], n) + 1)) / log(n + 1)) for x, k in c.items()} for c in s]
+    group = list(range(n))
+    pairs = [(i, j) for i in range(n) for j in range(i) if s[i] and s[j] and (lambda o: o >= threshold * (sum(weigh[i].values()) + sum(weigh[j].values()) - o))(sum(min(w, weigh[j].get(x, 0)) for x, w in weigh[i].items()))]
+    for _ in texts:
+        for i, j in pairs:
+            group[i] = group[j] = min(group[i], group[j])
+    return group
+
+
+def test_minhash_groups_equal_all_pairs(spark):
+    rng = random.Random(21)
+    words = [f"w{i}" for i in range(4000)]
+    passage, texts = [rng.choice(words) for _ in range(70)], []
+    for n in [1] * 10 + [3] * 8 + [40]:
+        base = [rng.choice(words) for _ in range(rng.randint(80, 160))]
+        for _ in range(n):
+            v = list(base)
+            for _ in range(rng.randint(0, 2)):
+                v[rng.randrange(len(v))] = rng.choice(["x", "y", "z"])
+            texts.append(" ".join(v))
+    texts += [" ".join(passage + [rng.choice(words) for _ in range(rng.randint(5, 40))]) for _ in range(60)]  # of one passage, some of them near
+    texts += [texts[3], texts[30], "", None, "one two", "one two", "one three"]
+    texts.append(" ".join(rng.choice(words) for _ in range(20_000)))
+    texts.append(texts[-1].replace(" w1 ", " v1 "))
+    docs = spark.createDataFrame([(None if i == 0 else i, t, 1, 2, 3) for i, t in enumerate(texts)], "doc_id long, text string, slice int, bucket int, keys int")
+    got = {r.doc_id or 0: (r.component_id or 0, r.kept) for r in minhash.near_duplicates(docs).collect()}
+    want = weighted_components(texts)
+    assert got == {i: (g, g == i) for i, g in enumerate(want)}
+    assert len(set(want)) < len(texts) - 80
+
+
 def test_components(spark):
     rng = random.Random(8)
     edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(260)] + [(i, i + 1) for i in range(1000, 1040)]
