@@ -25,6 +25,8 @@ PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_BYTES = 317, 322, 323, 32
 NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 TYPE_SIZE = {1: 1, 2: 1, 3: 2, 4: 4}
 CLEAR, END = 256, 257
+#: Bytes that one stored byte can stand for at most; a page that claims more is rejected before its samples are allocated.
+EXPANSION = {NONE: 1, PACKBITS: 64, LZW: 4096, DEFLATE: 1100, OLD_DEFLATE: 1100}
 
 
 class TiffError(ValueError):
@@ -209,7 +211,9 @@ def decode(data: bytes) -> Iterator[np.ndarray]:
     """The pages of a TIFF file, in the order of its directories."""
     try:
         yield from _pages(data)
-    except (struct.error, IndexError, KeyError) as e:
+    except TiffError:
+        raise
+    except (struct.error, LookupError, ValueError, ArithmeticError, MemoryError) as e:
         raise TiffError(f"malformed: {e!r}") from e
 
 
@@ -244,10 +248,18 @@ def _page(data: bytes, tags: dict) -> np.ndarray:
     tiled = TILE_OFFSETS in tags
     bw, bh = (tags[TILE_WIDTH][0], tags[TILE_HEIGHT][0]) if tiled else (w, min(tags.get(ROWS_PER_STRIP, (h,))[0], h))
     offsets, sizes = (tags[TILE_OFFSETS], tags[TILE_BYTES]) if tiled else (tags[STRIP_OFFSETS], tags[STRIP_BYTES])
-    across = -(-w // bw)
-    page = np.zeros((-(-h // bh) * bh, across * bw), np.uint8)
-    if len(offsets) != across * (page.shape[0] // bh) or len(sizes) != len(offsets):
+    if min(w, h, bw, bh) < 1:
+        raise TiffError("a page without pixels")
+    across, down = -(-w // bw), -(-h // bh)
+    if how not in EXPANSION:
+        raise TiffError(f"compression {how}")
+    if len(offsets) != across * down or len(sizes) != len(offsets):
         raise TiffError("strips or tiles are missing")
+    if any(o + n > len(data) for o, n in zip(offsets, sizes, strict=True)) or sum(sizes) > len(data) or w * h > sum(sizes) * EXPANSION[how] + 64:
+        raise TiffError("the page is larger than what the file holds")
+    if tiled and across * down * bw * bh > sum(sizes) * EXPANSION[how] + 64:
+        raise TiffError("the tiles are larger than what the file holds")
+    page = np.zeros((-(-h // bh) * bh, across * bw), np.uint8)
     for i, (o, n) in enumerate(zip(offsets, sizes, strict=True)):
         y, x = i // across * bh, i % across * bw
         rows = bh if tiled else min(bh, h - y)
@@ -272,10 +284,15 @@ def features(samples: np.ndarray) -> str:
 WIDE = 64
 
 
-def text_pages(text: bytes) -> np.ndarray:
-    """Bytes, with zeros up to a positive multiple of 64, as a page 64 samples wide."""
+#: Rows of a page at most.
+PAGE_ROWS = 1024
+
+
+def text_pages(text: bytes) -> list[np.ndarray]:
+    """Bytes, with zeros up to a positive multiple of 64, as pages 64 samples wide."""
     raw = text + b"\0" * (-len(text) % WIDE if text else WIDE)
-    return np.frombuffer(raw, np.uint8).reshape(-1, WIDE)
+    rows = np.frombuffer(raw, np.uint8).reshape(-1, WIDE)
+    return [rows[i : i + PAGE_ROWS] for i in range(0, len(rows), PAGE_ROWS)]
 
 
 def encode_texts(docs: DataFrame, compression: int = DEFLATE, predictor: int = 2) -> DataFrame:
@@ -285,7 +302,7 @@ def encode_texts(docs: DataFrame, compression: int = DEFLATE, predictor: int = 2
     def run(batches):
         for b in batches:
             texts = [(x or "").encode() for x in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in texts], pa.int64()), pa.array([encode([text_pages(x)], compression, predictor) for x in texts], pa.binary())], ["doc_id", "n_bytes", "media"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in texts], pa.int64()), pa.array([encode(text_pages(x), compression, predictor) for x in texts], pa.binary())], ["doc_id", "n_bytes", "media"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
@@ -325,8 +342,8 @@ def digests(docs: DataFrame, compression: int = DEFLATE, predictor: int = 2) ->
             rows = []
             for k, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 raw = (text or "").encode()
-                media = encode([text_pages(raw)], compression, predictor)
-                (page,) = decode(media)
+                media = encode(text_pages(raw), compression, predictor)
+                page = np.concatenate(list(decode(media)))
                 back = page.tobytes()
                 rows.append((k, len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-WIDE:]), len(media), hashlib.sha256(media).hexdigest(), features(page)))
             types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]

@@ -2,7 +2,9 @@
 
 The reader checks every member and record (gzip trailer, header syntax, Content-Length, record end, block digest). After a
 failed check it searches for the next gzip member that decompresses to a version line, or the next plain version line, from
-which a whole valid record can be read; the bytes between are logged as a quarantined gap.
+which a whole valid record can be read; the bytes between are logged as a quarantined gap. Inside a gzip member it searches in the same way: of a
+member with a bad record the others are kept, and of a cut or damaged one those records that come before the damage and have their block's digest;
+such a member is a gap as a whole, as its compressed bytes can't be told apart.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ ARCHIVE_BYTES = 4 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Bytes given to the decompressor at once.
 CHUNK = 1 << 14
+#: What a member may decompress to; a larger one is treated as damaged there.
+MEMBER_BYTES = 1 << 30
 DATE = "2024-01-01T00:00:00Z"
 _MAGIC = b"\x1f\x8b\x08"
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
@@ -57,8 +61,8 @@ def member(raw: bytes, level: int = 1) -> bytes:
     return z.compress(raw) + z.flush()
 
 
-def parse_record(data: bytes, at: int) -> tuple[dict, bytes, int] | None:
-    """Header, block and end of the record that starts at `at`; None if any check fails."""
+def parse_record(data: bytes, at: int, strict: bool = False) -> tuple[dict, bytes, int] | None:
+    """Header, block and end of the record that starts at `at`; None if any check fails, or if it is to be strict and there is no digest of the block."""
     if not _VERSION.match(data, at):
         return None
     end = data.find(b"\r\n\r\n", at)
@@ -79,51 +83,74 @@ def parse_record(data: bytes, at: int) -> tuple[dict, bytes, int] | None:
         return None
     block = data[start:stop]
     algorithm, _, digest = header.get("warc-block-digest", "").partition(":")
-    if algorithm == "sha1" and len(digest) == 40 and hashlib.sha1(block).hexdigest() != digest.lower():
+    if algorithm == "sha1" and len(digest) == 40:
+        if hashlib.sha1(block).hexdigest() != digest.lower():
+            return None
+    elif strict:
         return None
     return header, block, stop + 4
 
 
-def _unit(data: bytes, at: int) -> tuple[list[tuple[dict, bytes]], int] | None:
-    """The records of the gzip member, or the plain record, that starts at `at`, and its end; None if it isn't whole and valid."""
-    if data.startswith(_MAGIC, at):
-        z = zlib.decompressobj(31)
-        parts, end = [], at
-        try:
-            while not z.eof and end < len(data):
-                parts.append(z.decompress(data[end : end + CHUNK]))
-                end += CHUNK
-        except zlib.error:
-            return None
-        if not z.eof:
-            return None
-        end = min(end, len(data)) - len(z.unused_data)
-        raw, records, pos = b"".join(parts), [], 0
-        while pos < len(raw):
-            if (got := parse_record(raw, pos)) is None:
-                return None
+def _inflate(data: bytes, at: int) -> tuple[bytes, int, bool]:
+    """What the gzip member that starts at `at` decompresses to, as far as it goes, its end, and whether it is whole and its checksum holds."""
+    z = zlib.decompressobj(31)
+    parts, size, end = [], 0, at
+    try:
+        while not z.eof and end < len(data) and size <= MEMBER_BYTES:
+            parts.append(z.decompress(data[end : end + CHUNK]))
+            size += len(parts[-1])
+            end += CHUNK
+    except zlib.error:
+        return b"".join(parts), at, False
+    return b"".join(parts), min(end, len(data)) - len(z.unused_data), z.eof
+
+
+def _records(raw: bytes, strict: bool) -> tuple[list[tuple[dict, bytes]], bool]:
+    """The valid records of decompressed bytes, and whether there is nothing else."""
+    records, at, clean = [], 0, True
+    while at < len(raw):
+        if (got := parse_record(raw, at, strict)) is not None:
             records.append(got[:2])
-            pos = got[2]
-        return records, end
-    got = parse_record(data, at)
-    return None if got is None else ([got[:2]], got[2])
+            at = got[2]
+            continue
+        clean = False
+        found = _VERSION.search(raw, at + 1)
+        if not found:
+            break
+        at = found.start()
+    return records, clean
 
 
 def salvage(data: bytes) -> tuple[list[tuple[dict, bytes]], list[tuple[int, int]]]:
     """All records that can be recovered, in order, and the quarantined gaps [start, end)."""
-    records, gaps, at = [], [], 0
+    records, gaps, at, bad = [], [], 0, None
     while at < len(data):
-        bad = at
-        while (got := _unit(data, at)) is None:
-            found = _START.search(data, at + 1)
-            at = found.start() if found else len(data)
-            if not found:
-                break
-        if at > bad:
-            gaps.append((bad, at))
-        if got:
-            records += got[0]
-            at = got[1]
+        found, end, clean = [], at, False
+        if data.startswith(_MAGIC, at):
+            raw, end, whole = _inflate(data, at)
+            found, clean = _records(raw, not whole)
+            clean &= whole
+            if not clean and whole and found:  # its end is known, so the search goes on behind it
+                if bad is None:
+                    bad = at
+                records += found
+                gaps.append((bad, end))
+                at, bad = end, None
+                continue
+        elif (got := parse_record(data, at)) is not None:
+            found, end, clean = [got[:2]], got[2], True
+        if clean:
+            if bad is not None:
+                gaps.append((bad, at))
+            records += found
+            at, bad = end, None
+            continue
+        records += found
+        bad = at if bad is None else bad
+        next_ = _START.search(data, at + 1)
+        at = next_.start() if next_ else len(data)
+    if bad is not None:
+        gaps.append((bad, len(data)))
     return records, gaps
 
 
