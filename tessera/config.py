@@ -24,8 +24,8 @@ def resolve_mode(mode: str) -> str:
 
 @dataclass(frozen=True)
 class PipelineConfig:
-    """merge_tolerance None stands for the threshold; target_cr None always tries the entropy coder; compat reproduces the
-    reference's dynamic program where a leaf that fails the tolerance alone blocks the rest of its band."""
+    """merge_tolerance None stands for the threshold; target_cr None always tries the entropy coder; with compat a
+    leaf that fails the tolerance alone leaves the rest of its band uncut, as in archives of the original program."""
 
     mode: str = "strict"
     threshold: float = 12.0

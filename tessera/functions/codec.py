@@ -11,6 +11,7 @@ import struct
 
 import numpy as np
 
+# fixed by the format
 MAGIC = b"ASCE"
 HEADER = len(MAGIC) + 1
 RECORD = np.dtype([("x", "<u2"), ("y", "<u2"), ("w", "<u2"), ("h", "<u2"), ("r", "u1"), ("g", "u1"), ("b", "u1"), ("roi", "u1")])

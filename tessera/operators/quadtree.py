@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .raster import CHANNELS, pad
+from .raster import CHANNELS, pad, sizes
 
 KEYS = ("image_id", "by", "bx")
 
@@ -29,13 +29,19 @@ def _fold(below: DataFrame, *more: Column) -> DataFrame:
     return below.groupBy("image_id", F.shiftright("by", 1).alias("by"), F.shiftright("bx", 1).alias("bx")).agg(*merged, *more)
 
 
-def block_pyramid(px: DataFrame, top: int = 6) -> DataFrame:
-    """block(image_id, level, by, bx, n, sum_*, sq_*, min_*, max_*, roi_any, height, width, side) for levels 0 to `top`, as far as the image's side goes.
+def top_level(px: DataFrame) -> int:
+    """The level of the largest image's root block; one pass over the pixels' places."""
+    side = sizes(px).agg(F.max("side").alias("side")).first()["side"]
+    return max(0, int(side or 1).bit_length() - 1)
+
+
+def block_pyramid(px: DataFrame, top: int | None = None) -> DataFrame:
+    """block(image_id, level, by, bx, n, sum_*, sq_*, min_*, max_*, roi_any, height, width, side) for all levels, as far as the image's side goes; `top`, if known, is the root's level of the largest image.
 
     Every level is dealt by image once, and that exchange serves both the level's own rows and the next level, so nothing is computed twice.
     """
     levels = [_pixels(px).repartition("image_id")]
-    for _ in range(top):
+    for _ in range(top_level(px) if top is None else top):
         levels.append(_fold(levels[-1]).repartition("image_id"))
     found = [d.withColumn("level", F.lit(i)).filter(F.call_function("shiftleft", F.lit(1), F.lit(i)) <= F.col("side")) for i, d in enumerate(levels)]
     return reduce(DataFrame.unionByName, found)
@@ -64,25 +70,56 @@ def stops(criterion: str, threshold: float, min_block: int = 2) -> Column:
     return (F.col("level") == 0) | ((F.col("roi_any") == 0) & calm)
 
 
-def leaves(px: DataFrame, criterion: str = "range", threshold: float = 12.0, min_block: int = 2, top: int = 6) -> DataFrame:
+#: The level of the blocks whose leaves are held in one row, 4,096 at most.
+HELD = 6
+
+
+def leaves(px: DataFrame, criterion: str = "range", threshold: float = 12.0, min_block: int = 2, top: int | None = None) -> DataFrame:
     """leaf(image_id, level, x, y, w, h, is_roi, r, g, b, sum_*, n, min_*, max_*), clipped to the image; blocks outside it are dropped.
 
-    Colours are means over padded blocks. One chain of aggregations dealt by image: every block hands up the leaves below it, or itself where it stops, so
-    no ancestor is looked up and no block is read twice.
+    Colours are means over padded blocks. Up to level HELD one chain of aggregations, dealt by such blocks, hands up the leaves below a block, or itself where it stops, so
+    no ancestor is looked up and no block is read twice. Above it blocks are few; those below one that stops are left out by a join. `top`, if known, is the root's level of the
+    largest image.
     """
+    top = top_level(px) if top is None else top
     stats = [f"{s}_{k}" for k in CHANNELS for s in ("sum", "min", "max")]
+    own = F.struct("level", "by", "bx", "n", "roi_any", *stats)
 
     def settle(blocks: DataFrame, level: int, found: Column | None) -> DataFrame:
         blocks = blocks.withColumn("level", F.lit(level))
-        own = F.array(F.struct("level", "by", "bx", "n", "roi_any", *stats))
         fits = F.col("side") >= (1 << level)
-        kept = own if found is None else F.when(fits & stops(criterion, threshold, min_block), own).otherwise(found)
+        kept = F.array(own) if found is None else F.when(fits & stops(criterion, threshold, min_block), F.array(own)).otherwise(found)
         return blocks.withColumn("leaves", kept)
 
-    blocks = settle(_pixels(px).repartition("image_id"), 0, None)
-    for level in range(1, top + 1):
+    held = min(HELD, top)
+    dealt = _pixels(px)
+    dealt = dealt.repartition("image_id", *(F.shiftright(c, HELD) for c in ("by", "bx"))) if top > HELD else dealt.repartition("image_id")
+    blocks = settle(dealt, 0, None)
+    for level in range(1, held + 1):
         blocks = settle(_fold(blocks, F.flatten(F.collect_list("leaves")).alias("below")), level, F.col("below"))
-    leaf = blocks.select("image_id", "height", "width", F.explode("leaves").alias("leaf")).select("image_id", "height", "width", "leaf.*")
+    found = blocks.select("image_id", "height", "width", "by", "bx", "leaves")
+    if top > held:
+        wide, large = blocks.drop("leaves"), []
+        for level in range(held + 1, top + 1):
+            wide = _fold(wide).withColumn("level", F.lit(level))
+            large.append(wide.filter((F.col("side") >= (1 << level)) & stops(criterion, threshold, min_block)).select("image_id", "height", "width", "by", "bx", own.alias("leaf")))
+        large = reduce(DataFrame.unionByName, large)
+        above = F.explode(F.sequence(F.col("level") + 1, F.lit(top)))
+        keys = ["image_id", "above", "ay", "ax"]
+        stopped = large.select("image_id", F.col("leaf.level").alias("above"), F.col("by").alias("ay"), F.col("bx").alias("ax"))
+
+        def free(rows: DataFrame) -> DataFrame:
+            """rows (image_id, level, by, bx, ...) below no block that stops."""
+            places = rows.filter(F.col("level") < top).select("image_id", "level", "by", "bx", above.alias("above"))
+            up = lambda c: F.expr(f"shiftright({c}, above - level)")
+            covered = places.select("*", up("by").alias("ay"), up("bx").alias("ax")).join(stopped, keys, "left_semi").select("image_id", "level", "by", "bx").distinct()
+            return rows.join(covered, ["image_id", "level", "by", "bx"], "left_anti")
+
+        low = free(found.withColumn("level", F.lit(held))).select("image_id", "height", "width", F.explode("leaves").alias("leaf"))
+        leaf = low.unionByName(free(large.withColumn("level", F.col("leaf.level"))).select("image_id", "height", "width", "leaf"))
+    else:
+        leaf = found.select("image_id", "height", "width", F.explode("leaves").alias("leaf"))
+    leaf = leaf.select("image_id", "height", "width", "leaf.*")
     size = F.call_function("shiftleft", F.lit(1), F.col("level"))
     x, y = F.col("bx") * size, F.col("by") * size
     out = leaf.withColumns({"x": x, "y": y, "w": F.least(size, F.col("width") - x), "h": F.least(size, F.col("height") - y)}).filter("w > 0 and h > 0")

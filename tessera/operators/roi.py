@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from functools import lru_cache
 
 import numpy as np
@@ -32,36 +33,50 @@ def coverage(px: DataFrame) -> DataFrame:
     return px.groupBy("image_id").agg(F.avg("roi").alias("coverage"), F.sum("roi").alias("n_roi"))
 
 
-def fill_holes(px: DataFrame, most_rounds: int = 10_000) -> DataFrame:
+def fill_holes(px: DataFrame) -> DataFrame:
     """(image_id, y, x, roi, filled): background that isn't 8-connected to the border becomes ROI.
 
-    The frontier of the reached background moves by one step a round; only frontier rows are joined, and lineage is cut each round.
+    Rows of background are cut into runs, so an image has few nodes. Runs that touch one that the border reaches are reached
+    in the next round, a row further, until there are none; what is reached is checkpointed, so lineage is cut.
     """
-    from pyspark.sql import SparkSession
-
-    spark = SparkSession.active()
+    row = Window.partitionBy("image_id", "y").orderBy("x")
     size = px.groupBy("image_id").agg(F.max("y").alias("my"), F.max("x").alias("mx"))
-    free = px.filter("roi = 0").select("image_id", "y", "x")
-    seed = free.join(size, "image_id").filter("y = 0 or x = 0 or y = my or x = mx").select("image_id", "y", "x")
-    held = spark.sparkContext.getCheckpointDir() is not None
-    cut = (lambda d: d.checkpoint()) if held else (lambda d: d.persist())
-    reached = frontier = cut(seed)
-    near = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if dy or dx])
-    for _ in range(most_rounds):
-        step = frontier.withColumn("d", F.explode(near)).select("image_id", (F.col("y") + F.col("d.dy")).alias("y"), (F.col("x") + F.col("d.dx")).alias("x")).distinct()
-        frontier = cut(step.join(free, ["image_id", "y", "x"], "left_semi").join(reached, ["image_id", "y", "x"], "left_anti"))
+    gap = F.when(F.lag("x").over(row) == F.col("x") - 1, 0).otherwise(1)
+    free = px.filter("roi = 0").withColumn("gap", gap).withColumn("run", F.sum("gap").over(row))
+    runs = free.groupBy("image_id", "y", "run").agg(F.min("x").alias("a"), F.max("x").alias("z")).join(size, "image_id")
+    runs = _cut(runs.select("image_id", "y", "a", "z", ((F.col("y") == 0) | (F.col("y") == F.col("my")) | (F.col("a") == 0) | (F.col("z") == F.col("mx"))).alias("out")))
+    near = runs.select("image_id", F.col("y").alias("y2"), F.col("a").alias("a2"), F.col("z").alias("z2"))
+    touch = (F.col("a2") <= F.col("z") + 1) & (F.col("z2") >= F.col("a") - 1)
+    down = runs.withColumn("y2", F.col("y") + 1).join(near, ["image_id", "y2"]).filter(touch).select("image_id", "y", "a", "y2", "a2")
+    links = _cut(down.unionByName(down.select("image_id", F.col("y2").alias("y"), F.col("a2").alias("a"), F.col("y").alias("y2"), F.col("a").alias("a2"))))
+    reached = frontier = _cut(runs.filter("out").select("image_id", "y", "a"))
+    while True:
+        step = frontier.join(links, ["image_id", "y", "a"]).select("image_id", F.col("y2").alias("y"), F.col("a2").alias("a")).distinct()
+        frontier = _cut(step.join(reached, ["image_id", "y", "a"], "left_anti"))
         if frontier.isEmpty():
             break
-        reached = cut(reached.unionByName(frontier))
-    return px.select("image_id", "y", "x", "roi").join(reached.withColumn("out", F.lit(1)), ["image_id", "y", "x"], "left").withColumn("filled", F.when(F.col("out") == 1, 0).otherwise(1)).drop("out")
+        reached = _cut(reached.unionByName(frontier))
+    outside = reached.join(runs, ["image_id", "y", "a"]).select("image_id", "y", F.explode(F.sequence("a", "z")).alias("x"), F.lit(1).alias("out"))
+    return px.select("image_id", "y", "x", "roi").join(outside, ["image_id", "y", "x"], "left").withColumn("filled", F.when(F.col("out") == 1, 0).otherwise(1)).drop("out")
+
+
+def _cut(df: DataFrame) -> DataFrame:
+    """df checkpointed in the folder that driver and executors share."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='tessera-')}")
+    return df.checkpoint()
 
 
 @lru_cache(maxsize=2)
 def _session(model_path: str):
-    """One inference session for each worker process."""
-    import onnxruntime
+    """One inference session for each worker process, or the failure to get one, which is kept, too."""
+    try:
+        import onnxruntime
 
-    return onnxruntime.InferenceSession(model_path, providers=["CPUExecutionProvider"])
+        return onnxruntime.InferenceSession(model_path, providers=["CPUExecutionProvider"])
+    except Exception as e:  # noqa: BLE001  whatever the runtime raises is told in the result
+        return e
 
 
 def segment(rgb: np.ndarray, method: str = "classical", percentile: float = 90.0, dilate_px: int = 5, model_path: str | None = None, user_mask: np.ndarray | None = None) -> tuple[np.ndarray, dict]:
@@ -76,6 +91,8 @@ def segment(rgb: np.ndarray, method: str = "classical", percentile: float = 90.0
     if method == "u2net":
         try:
             session = _session(model_path or "")
+            if isinstance(session, Exception):
+                raise session
             out = session.run(None, {session.get_inputs()[0].name: imaging.network_input(rgb)})[0]
             saliency = imaging.network_output(out, *rgb.shape[:2])
         except Exception as e:  # noqa: BLE001  whatever the runtime raises is told in the result

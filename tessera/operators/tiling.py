@@ -28,22 +28,32 @@ def _arrays(pdf: pd.DataFrame) -> dict:
 def merge_rows(leaf: DataFrame, tolerance: float = 12.0, max_run: int = 64, compat: bool = False) -> DataFrame:
     """Row tiles of background leaves: (image_id, x, y, w, h, r, g, b, is_roi, merged_from).
 
-    An image's leaves come to one task (bands alone would be too small to pay for a call each); its bands are cut one after another.
+    Leaves are dealt by image and sorted by band; a batch's bands, of however many images, are cut in one call of the kernel, and its last band waits for the next batch.
     """
-
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["y", "h", "x"], kind="stable")
-        a, out = _arrays(pdf), []
-        edges = np.flatnonzero(np.r_[True, (np.diff(a["y"]) != 0) | (np.diff(a["h"]) != 0), True])
-        for s, e in zip(edges[:-1], edges[1:], strict=True):
-            x, w, h, value = (a[c][s:e] for c in ("x", "w", "h", "value"))
-            for i, j in T.merge_row(x, w, h, value, a["low"][s:e], a["high"][s:e], tolerance, max_run, compat):
-                area = (w[i:j] * h[i:j]).astype(float)
-                colour = value[i] if j - i == 1 else (value[i:j] * area[:, None]).sum(axis=0) / area.sum()
-                out.append((pdf["image_id"].iloc[0], x[i], a["y"][s], x[j - 1] + w[j - 1] - x[i], h[i], *colour, False, j - i))
-        return pd.DataFrame(out, columns=["image_id", "x", "y", "w", "h", *CHANNELS, "is_roi", "merged_from"])
-
-    return leaf.filter(~F.col("is_roi")).groupBy("image_id").applyInPandas(merge, TILE)
+    keys = ["image_id", "y", "h"]
+
+    def cut(pdf: pd.DataFrame) -> pd.DataFrame:
+        a = _arrays(pdf)
+        row = T.merge_rows(tuple(pdf[c].to_numpy() for c in keys), a["x"], a["w"], a["h"], a["value"], a["low"], a["high"], tolerance, max_run, compat)
+        out = pdf.iloc[row["first"]][["image_id", "x", "y", "h"]].assign(w=row["w"], is_roi=False, merged_from=row["n"])
+        return out.assign(**{k: row["value"][:, i] for i, k in enumerate(CHANNELS)})[["image_id", "x", "y", "w", "h", *CHANNELS, "is_roi", "merged_from"]]
+
+    def merge(batches):
+        held = None
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            held = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+            last = int(T.bands(*(held[c].to_numpy() for c in keys))[-2])
+            if last:
+                yield cut(held.iloc[:last])
+                held = held.iloc[last:].reset_index(drop=True)
+        if held is not None:
+            yield cut(held)
+
+    stats = [f"{s}_{k}" for k in CHANNELS for s in ("min", "max")]
+    rows = leaf.filter(~F.col("is_roi")).select(*keys, "x", "w", "is_roi", *CHANNELS, *stats)
+    return rows.repartition("image_id").sortWithinPartitions(*keys, "x").mapInPandas(merge, TILE)
 
 
 def tile(leaf: DataFrame, tolerance: float = 12.0, max_run: int = 64, compat: bool = False) -> DataFrame:

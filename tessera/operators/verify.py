@@ -20,26 +20,46 @@ def duplicates(names: DataFrame) -> DataFrame:
     return names.groupBy("name").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
 
 
+def _ranged(entries: DataFrame, order: str) -> DataFrame:
+    """entries with their part of the order; parts are ranges, and a null is in the first one."""
+    parts = max(8, entries.sparkSession.sparkContext.defaultParallelism)
+    return entries.repartitionByRange(parts, order).withColumn("part", F.spark_partition_id())
+
+
+def _before(parts: DataFrame, value: str, fold) -> DataFrame:
+    """(part, before): `fold` of the value over all parts before each. Only one row a part goes through one task."""
+    return parts.select("part", fold(value).over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)).alias("before"))
+
+
 def offsets(entries: DataFrame, order: str) -> DataFrame:
-    """entries(order, length, ...) with offset: the sum of the lengths before each.
+    """entries(order, length, ...) with offset: the sum of the lengths before each; entries whose order is null come first.
 
-    Lengths are added up in ranges of the order first; only the ranges' totals go through one task.
+    Lengths are added up in ranges of the order first; a part's total is looked up by its number.
     """
-    parts = max(8, entries.sparkSession.sparkContext.defaultParallelism)
-    ranged = entries.repartitionByRange(parts, order).withColumn("part", F.spark_partition_id())
-    bounds = ranged.groupBy("part").agg(F.sum("length").alias("total"), F.min(order).alias("low"), F.max(order).alias("high"))
-    before = bounds.withColumn("base", F.coalesce(F.sum("total").over(Window.orderBy("low").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("low", "high", "base")
-    joined = entries.join(F.broadcast(before), (F.col(order) >= F.col("low")) & (F.col(order) <= F.col("high")))
-    inside = Window.partitionBy("base", "low").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return joined.withColumn("offset", F.col("base") + F.coalesce(F.sum("length").over(inside), F.lit(0))).drop("low", "high", "base")
+    ranged = _ranged(entries, order)
+    base = _before(ranged.groupBy("part").agg(F.sum("length").alias("total")), "total", F.sum)
+    inside = Window.partitionBy("part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    own = ranged.withColumn("offset", F.coalesce(F.sum("length").over(inside), F.lit(0)))
+    return own.join(F.broadcast(base), "part").withColumn("offset", F.col("offset") + F.coalesce("before", F.lit(0))).drop("part", "before")
 
 
 def structure_errors(entries: DataFrame) -> DataFrame:
-    """(name, problem) of entries that overlap, leave a gap, exceed the payload area or have no dimensions."""
-    order = Window.partitionBy(F.lit(0)).orderBy("offset")
-    total = Window.partitionBy(F.lit(0))
-    rows = entries.withColumn("end", F.col("offset") + F.col("length")).withColumn("prev", F.lag("end").over(order)).withColumn("whole", F.sum("length").over(total))
-    problem = F.when((F.col("width") <= 0) | (F.col("height") <= 0), "no dimensions").when(F.col("prev") > F.col("offset"), "overlaps the entry before").when(F.col("end") > F.col("whole"), "exceeds the payload area")
+    """(name, problem) of entries(name, width, height, offset, length): the first problem each has.
+
+    Metadata are checked for nulls, negative values and dimensions, names for repeats. An entry overlaps if it begins before the largest end of those before it, leaves a gap if
+    after it, and exceeds the payload area if it ends behind the sum of all lengths.
+    """
+    ranged = _ranged(entries.withColumn("end", F.col("offset") + F.col("length")), "offset")
+    reached = _before(ranged.groupBy("part").agg(F.max("end").alias("end")), "end", F.max)
+    inside = Window.partitionBy("part").orderBy("offset", "end").rowsBetween(Window.unboundedPreceding, -1)
+    whole = entries.agg(F.sum("length").alias("whole"))
+    rows = ranged.withColumn("own", F.max("end").over(inside)).join(F.broadcast(reached), "part").withColumn("reached", F.greatest("own", "before", F.lit(0))).join(F.broadcast(whole))
+    rows = rows.join(entries.groupBy("name").agg(F.count(F.lit(1)).alias("same")).withColumnRenamed("name", "of"), F.col("name").eqNullSafe(F.col("of")))
+    bad = F.coalesce((F.col("offset") < 0) | (F.col("length") < 0) | F.col("name").isNull(), F.lit(True))
+    problem = (
+        F.when(bad, "bad metadata").when(F.coalesce((F.col("width") <= 0) | (F.col("height") <= 0), F.lit(True)), "no dimensions").when(F.col("same") > 1, "name occurs again")
+        .when(F.col("reached") > F.col("offset"), "overlaps an entry before").when(F.col("end") > F.col("whole"), "exceeds the payload area").when(F.col("reached") < F.col("offset"), "gap before the entry")
+    )
     return rows.select("name", problem.alias("problem")).filter("problem is not null")
 
 
@@ -50,7 +70,7 @@ def summary(rows: DataFrame) -> DataFrame:
 
 
 def write_reports(rows: DataFrame, path: str) -> None:
-    """The per-image CSV report and the JSON report {summary, images}."""
+    """The per-image CSV report, and the JSON reports: one line an image, and the summary. Nothing is gathered in one task but the summary's row."""
     rows.write.mode("overwrite").option("header", True).csv(f"{path}/verify_csv")
-    images = rows.agg(F.collect_list(F.struct("*")).alias("images"))
-    summary(rows).select(F.struct("*").alias("summary")).crossJoin(images).select(F.to_json(F.struct("summary", "images")).alias("value")).write.mode("overwrite").text(f"{path}/verify_json")
+    rows.write.mode("overwrite").json(f"{path}/verify_json/images")
+    summary(rows).write.mode("overwrite").json(f"{path}/verify_json/summary")

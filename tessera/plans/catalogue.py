@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -13,11 +10,13 @@ from pyspark.sql import functions as F
 
 from ..config import PipelineConfig, resolve_mode
 from ..functions import codec
-from ..operators import compress, quadtree, raster, roi, tiling, verify
+from ..operators import compress, diagnose, quadtree, raster, roi, tiling, verify
 from ..sources import archive, images
 from .oracles import ORACLE_SQL
 
 THRESHOLD = 12.0
+#: The root's level of the fixture's rasters, which are 64 pixels wide and no higher.
+ROOT = 6
 
 
 def _long(e, name: str):
@@ -29,11 +28,11 @@ def _px(spark, d) -> DataFrame:
 
 
 def _blocks(spark, d) -> DataFrame:
-    return quadtree.block_pyramid(_px(spark, d))
+    return quadtree.block_pyramid(_px(spark, d), ROOT)
 
 
 def _leaves(spark, d, criterion: str = "range") -> DataFrame:
-    return quadtree.leaves(_px(spark, d), criterion, THRESHOLD)
+    return quadtree.leaves(_px(spark, d), criterion, THRESHOLD, top=ROOT)
 
 
 def _rows(spark, d) -> DataFrame:
@@ -181,7 +180,6 @@ def byte_histogram(spark, d):
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["byte", "n"])
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
     raw = _documents(spark, d).select(F.encode("text", "UTF-8").alias("raw"))
     return raw.mapInArrow(count, "byte long, n long").groupBy("byte").agg(F.sum("n").alias("n"))
 
@@ -191,7 +189,6 @@ def _per_text(spark, d, fn, schema: str) -> DataFrame:
         for pdf in batches:
             yield pd.DataFrame([(k, *fn((t or "").encode())) for k, t in zip(pdf["doc_id"], pdf["text"], strict=True)], columns=[c.split()[0] for c in schema.split(", ")])
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
     return _documents(spark, d).select("doc_id", "text").mapInPandas(run, schema)
 
 
@@ -221,12 +218,16 @@ def conditional_codec_choice(spark, d):
 
 
 def archive_roundtrip(spark, d):
-    """Compresses all rasters, writes and reads the archive, and verifies it. The archive is one file by its format, written and read where the driver runs."""
+    """Compresses all rasters, packs each payload with its entry of the index, reads it back and verifies it. Files are written by sources.archive; here every image is an archive of
+    its own, so that executors need no file of the driver's."""
     originals = _image_rows(spark, d)
-    path = os.path.join(tempfile.mkdtemp(prefix="tessera-"), "fixture.ascd")
-    archive.write(compress.compress_images(originals), path)
-    rows = [tuple(r) for r in archive.read(spark, path).select("name", "width", "height", "payload").toLocalIterator()] if not spark.sparkContext.master.startswith("local") else None
-    entries = archive.read(spark, path) if rows is None else spark.createDataFrame(rows, "name string, width int, height int, payload binary")
+
+    def one(batches):
+        for pdf in batches:
+            found = [archive.unpack(archive.pack([(r.name, r.width, r.height, r.payload)]))[0] for r in pdf.itertuples(index=False)]
+            yield pd.DataFrame(found, columns=["name", "width", "height", "payload"])
+
+    entries = compress.compress_images(originals).filter("error is null").select("name", "width", "height", "payload").mapInPandas(one, "name string, width int, height int, payload binary")
     return compress.verify_images(entries, originals).select("image", "status", "roi_pixels", "roi_exact_pixels", "background_bound_ok", "reason")
 
 
@@ -264,11 +265,45 @@ def verify_pixel_compare(spark, d):
 
 
 def verify_summary(spark, d):
+    """From leaves alone: rounding keeps the order of values, so a leaf's least and largest bound the error of its stored colour, and no pixel is joined."""
+    worst = F.greatest(*[F.greatest(F.abs(F.col(f"max_{k}") - F.bround(F.col(k), 0)), F.abs(F.col(f"min_{k}") - F.bround(F.col(k), 0))) for k in raster.CHANNELS])
+    area, inside = (F.col("w") * F.col("h")).cast("long"), F.col("is_roi")
+    leaf = _leaves(spark, d).withColumn("err", worst)
+    of = lambda c: F.coalesce(F.sum(F.when(c, area)), F.lit(0))
+    rows = leaf.groupBy("image_id").agg(of(inside).alias("roi_pixels"), of(inside & (F.col("err") == 0)).alias("roi_exact_pixels"), F.max(F.when(~inside, F.col("err"))).alias("max_background_error"))
     ok = (F.col("roi_exact_pixels") == F.col("roi_pixels")) & (F.col("max_background_error") <= THRESHOLD + 1e-6)
-    s = verify.summary(_verified(spark, d).withColumn("status", F.when(ok, "PASS").otherwise("FAIL")))
+    s = verify.summary(rows.withColumn("status", F.when(ok, "PASS").otherwise("FAIL")))
     return s.withColumns({c: F.round(c, 6) for c in ("roi_exact_percent", "max_background_error")})
 
 
+def saliency_report(spark, d):
+    return _named(diagnose.saliency_percentiles(_image_rows(spark, d)))
+
+
+def mask_stage_coverage(spark, d):
+    return _named(diagnose.mask_stages(_image_rows(spark, d)).drop("mask"))
+
+
+def stage_exactness(spark, d):
+    return _named(diagnose.stage_exactness(_image_rows(spark, d)))
+
+
+def _named(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("path", images.basename(F.col("path"))).withColumnRenamed("path", "name")
+
+
+def progress_index(spark, d):
+    return diagnose.progress(_entries(spark, d).select("name"))
+
+
+def tall_quadtree_leaves(spark, d):
+    """Leaves of plain rasters with the fixture's regions of interest, four of them one above the other, so that blocks of more than 64 pixels stop, too."""
+    k = F.col("image_id")
+    some = (k % 4 == 3) & (k % 8 < 4)
+    tall = _px(spark, d).filter("y < 48").select(F.floor(k / 4).alias("image_id"), (F.col("y") + 48 * (k % 4)).cast("int").alias("y"), "x", *[F.lit(100).alias(c) for c in raster.CHANNELS], F.when(some, F.col("roi")).otherwise(0).alias("roi"))
+    return quadtree.leaves(tall, "range", THRESHOLD).groupBy("image_id", _long("level", "level")).agg(F.count(F.lit(1)).alias("n_leaves"), _long(F.sum(F.col("w") * F.col("h")), "area"))
+
+
 def stem_match_mask(spark, d):
     f = _files(spark, d).withColumn("stem", images.stem(F.col("path")))
     masks = f.filter("id % 2 = 1").groupBy("stem").agg(F.min("path").alias("mask"))
@@ -283,7 +318,7 @@ def reject_cascade(spark, d):
 
 def mode_switch_compare(spark, d):
     px = _px(spark, d)
-    count = lambda mode, name: quadtree.leaves(px, resolve_mode(mode), THRESHOLD).groupBy("image_id").agg(F.count(F.lit(1)).alias(name))
+    count = lambda mode, name: quadtree.leaves(px, resolve_mode(mode), THRESHOLD, top=ROOT).groupBy("image_id").agg(F.count(F.lit(1)).alias(name))
     return count("strict", "n_range").join(count("fast", "n_variance"), "image_id")
 
 
@@ -301,7 +336,7 @@ QUERIES = {f.__name__: f for f in (
     raster_summary, raster_pad, roi_coverage, roi_percentile_threshold, roi_minmax_normalize, roi_hole_fill, block_stats_pyramid, block_range_pyramid, quadtree_leaves_range, quadtree_leaves_variance,
     quadtree_morton_order, quadtree_reconstruct_error, background_variance, row_bands, band_islands, dp_row_merge, dp_backtrack_tiles, tile_area_weighted_mean, tile_reduction_ratio, tiles_paint_range_join,
     vertical_stacks, vertical_merge, tile_wire_size, byte_histogram, huffman_size, huffman_roundtrip, conditional_codec_choice, archive_offsets, archive_index_overlap, archive_roundtrip, verify_missing_extra,
-    verify_duplicates, verify_pixel_compare, verify_summary, stem_match_mask, reject_cascade, mode_switch_compare, problem_subset, flagship,
+    verify_duplicates, verify_pixel_compare, verify_summary, stem_match_mask, reject_cascade, mode_switch_compare, problem_subset, flagship, saliency_report, mask_stage_coverage, stage_exactness, progress_index, tall_quadtree_leaves,
 )}
 
 __all__ = ["ORACLE_SQL", "QUERIES", "flagship"]

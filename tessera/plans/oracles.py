@@ -63,7 +63,24 @@ FILES = """f AS (SELECT s_suppkey AS id, CASE s_suppkey % 3 WHEN 0 THEN '/data/a
 base AS (SELECT *, lower(regexp_extract(path, '\\.([^./]+)$', 1)) AS ext, regexp_extract(path, '([^/]*)$', 1) AS base FROM f)"""
 REASON = """CASE WHEN ext NOT IN ('png','jpg','jpeg','bmp','tif','tiff','webp') THEN 'unsupported extension' WHEN length <= 0 THEN 'unreadable or empty file' WHEN NOT decodable THEN 'not a decodable image'
   WHEN bits <> 8 THEN 'not 8-bit' WHEN channels = 1 THEN 'grayscale' WHEN channels <> 3 THEN 'not 3 channels' WHEN greatest(height, width) > 4096 THEN 'larger than 4096' WHEN least(height, width) < 1 THEN 'no pixels' ELSE 'valid' END"""
-BYTES = """bytes AS (SELECT ascii(c) AS byte FROM (SELECT unnest(string_split(regexp_replace(text, '[^\\x01-\\x7F]', '', 'g'), '')) AS c FROM documents) WHERE c <> '')"""
+BYTES = """pairs AS (SELECT unnest(string_split(regexp_replace(hex(encode(text)), '(..)', '\\1,', 'g'), ',')) AS p FROM documents),
+bytes AS (SELECT (strpos('0123456789ABCDEF', p[1:1]) - 1) * 16 + strpos('0123456789ABCDEF', p[2:2]) - 1 AS byte FROM pairs WHERE p <> '')"""
+# one step joins the two lightest symbols; what it weighs is added to the number of coded bits
+HUFFMAN = BYTES.replace("AS p FROM documents", "AS p, doc_id FROM documents").replace("AS byte FROM pairs", "AS byte, doc_id FROM pairs") + """,
+counted AS (SELECT doc_id, byte, count(*) AS n FROM bytes GROUP BY ALL),
+doc AS (SELECT doc_id, list_sort(list(n)) AS l, count(*) AS kinds, sum(n) AS size FROM counted GROUP BY doc_id),
+step AS (SELECT doc_id, l, 0::BIGINT AS bits FROM doc UNION ALL SELECT doc_id, list_sort(list_append(l[3:], l[1] + l[2])), (bits + l[1] + l[2])::BIGINT FROM step WHERE len(l) > 1),
+coded AS (SELECT doc_id, kinds, size, CASE WHEN kinds = 1 THEN size ELSE bits END AS bits FROM step JOIN doc USING (doc_id) WHERE len(step.l) = 1)"""
+# a column's tiles are merged from top to bottom; t numbers the merged ones
+COLUMNS = ROWS.replace("count(*) AS merged_from,", "count(*) AS merged_from, " + ", ".join(f"min(b.min_{k}) AS l{k}, max(b.max_{k}) AS u{k}" for k in "rgb") + ",") + """,
+placed AS (SELECT *, row_number() OVER (PARTITION BY image_id, x, w ORDER BY y) AS p FROM row_tile),
+grow AS (SELECT image_id, x, w, p, 1 AS t, y, hh, merged_from, r, g, b, lr, lg, lb, ur, ug, ub FROM placed WHERE p = 1
+  UNION ALL SELECT image_id, x, w, p, CASE WHEN ok THEN t ELSE t + 1 END, CASE WHEN ok THEN y ELSE y2 END, CASE WHEN ok THEN hh + h2 ELSE h2 END, CASE WHEN ok THEN merged_from + m2 ELSE m2 END,
+    """ + ", ".join(f"CASE WHEN ok THEN n{k} ELSE {k}2 END" for k in "rgb") + ", " + ", ".join(f"CASE WHEN ok THEN least(l{k}, l{k}2) ELSE l{k}2 END" for k in "rgb") + ", " + ", ".join(f"CASE WHEN ok THEN greatest(u{k}, u{k}2) ELSE u{k}2 END" for k in "rgb") + """
+  FROM (SELECT *, y + hh = y2 AND greatest(""" + ", ".join(f"abs(greatest(u{k}, u{k}2) - n{k}), abs(least(l{k}, l{k}2) - n{k})" for k in "rgb") + """) <= 12 AS ok
+    FROM (SELECT s.image_id, s.x, s.w, c.p, s.t, s.y, s.hh, s.merged_from, """ + ", ".join(f"s.{k}, s.l{k}, s.u{k}, c.{k} AS {k}2, c.l{k} AS l{k}2, c.u{k} AS u{k}2, (s.{k} * s.hh + c.{k} * c.hh) / (s.hh + c.hh) AS n{k}" for k in "rgb") + """, c.y AS y2, c.hh AS h2, c.merged_from AS m2
+      FROM grow s JOIN placed c ON c.image_id = s.image_id AND c.x = s.x AND c.w = s.w AND c.p = s.p + 1) j) jj),
+merged AS (SELECT image_id, x, w, max_by(y, p) AS y, max_by(hh, p) AS h, max_by(merged_from, p) AS merged_from, max_by(r, p) AS r, max_by(g, p) AS g, max_by(b, p) AS b FROM grow GROUP BY image_id, x, w, t)"""
 VERIFY = LEAF + """,
 off AS (SELECT p.image_id, p.y, p.x, p.roi, greatest(abs(p.r - round_even(f.r, 0)), abs(p.g - round_even(f.g, 0)), abs(p.b - round_even(f.b, 0))) AS err FROM px p JOIN of_px o USING (image_id, y, x) JOIN leaf f ON f.image_id = o.image_id AND f.level = o.level AND f.by_ = o.y >> o.level AND f.bx = o.x >> o.level),
 rowsv AS (SELECT image_id, count_if(roi = 1) AS roi_pixels, count_if(roi = 1 AND err = 0) AS roi_exact_pixels, count_if(roi = 0) AS background_pixels, max(err) FILTER (roi = 0) AS max_err, bool_and(err = 0) AS full_exact FROM off GROUP BY image_id)"""
@@ -83,14 +100,14 @@ ORACLE_SQL = {
     "roi_percentile_threshold": q(PX, f", t AS (SELECT image_id, quantile_cont(CAST(r AS DOUBLE), 0.9) AS t, min(r) AS lo, max(r) AS hi FROM px GROUP BY image_id) SELECT image_id, round(any_value(t), 6) AS threshold, {big('sum(CASE WHEN hi - lo <= 1e-6 THEN 0 WHEN t <= lo + 1e-6 THEN CAST(r > lo + 1e-6 AS INT) ELSE CAST(r >= t AS INT) END)', 'n_mask')} FROM px JOIN t USING (image_id) GROUP BY image_id"),
     "roi_minmax_normalize": q(PX, f", t AS (SELECT image_id, min(r) AS lo, max(r) AS hi FROM px GROUP BY image_id) SELECT image_id, round(sum(CASE WHEN hi - lo <= 1e-6 THEN 0.0 ELSE (r - lo) / (hi - lo) END), 4) AS total, {big('count(*)', 'n')} FROM px JOIN t USING (image_id) GROUP BY image_id"),
     "roi_hole_fill": q(PX + """,
-ring AS (SELECT image_id, y, x, h, CASE WHEN d2 BETWEEN rad*rad AND (rad+3)*(rad+3) THEN 1 ELSE 0 END AS roi FROM g WHERE image_id % 10 = 2),
+ring AS (SELECT image_id, y, x, h, CASE WHEN d2 BETWEEN rad*rad AND (rad+3)*(rad+3) THEN 1 ELSE 0 END AS roi FROM g),
 reach(image_id, y, x) AS (SELECT image_id, y, x FROM ring WHERE roi = 0 AND (y = 0 OR x = 0 OR y = h - 1 OR x = 63)
   UNION SELECT n.image_id, n.y, n.x FROM reach c JOIN ring n ON n.image_id = c.image_id AND n.y BETWEEN c.y - 1 AND c.y + 1 AND n.x BETWEEN c.x - 1 AND c.x + 1 AND n.roi = 0)""", f"SELECT image_id, {big('count(*)', 'n_px')}, {big('sum(r.roi)', 'n_roi')}, {big('count(*) - count(c.image_id)', 'n_filled')} FROM ring r LEFT JOIN reach c USING (image_id, y, x) GROUP BY image_id", True),
     "block_stats_pyramid": q(BLOCK, f"SELECT image_id, {big('level', 'level')}, {big('count(*)', 'n_blocks')}, {big('sum(n)', 'n_px')}, {big('sum(sum_r + 3*sum_g + 5*sum_b)', 'sums')}, {big('sum(sq_r + sq_g + sq_b)', 'squares')}, {big('sum(roi_any)', 'roi_blocks')}, {big('max(greatest(n*sq_r-sum_r*sum_r, n*sq_g-sum_g*sum_g, n*sq_b-sum_b*sum_b))', 'max_var_num')} FROM block GROUP BY image_id, level"),
     "block_range_pyramid": q(BLOCK, f"SELECT image_id, {big('level', 'level')}, {big('sum(greatest(max_r-min_r, max_g-min_g, max_b-min_b))', 'range_sum')}, {big('max(greatest(max_r-min_r, max_g-min_g, max_b-min_b))', 'range_max')} FROM block GROUP BY image_id, level"),
     "quadtree_leaves_range": q(LEAF, f"SELECT image_id, {big('level', 'level')}, {big('count(*)', 'n_leaves')}, {big('sum(w*hh)', 'area')}, {big('sum(roi_any)', 'n_roi')}, {big('sum(sum_r)', 'sum_r')} FROM leaf GROUP BY image_id, level"),
     "quadtree_leaves_variance": q(LEAF_VARIANCE, f"SELECT image_id, {big('level', 'level')}, {big('count(*)', 'n_leaves')}, {big('sum(w*hh)', 'area')}, {big('sum(roi_any)', 'n_roi')}, {big('sum(sum_r)', 'sum_r')} FROM leaf GROUP BY image_id, level"),
-    "quadtree_morton_order": q(LEAF, ", m AS (SELECT image_id, x, y, w, (" + " + ".join(f"(((x >> {i}) & 1) << {2 * i}) + (((y >> {i}) & 1) << {2 * i + 1})" for i in range(6)) + f") AS code FROM leaf) SELECT image_id, {big('x', 'x')}, {big('y', 'y')}, {big('w', 'w')}, {big('code', 'code')}, {big('row_number() OVER (PARTITION BY image_id ORDER BY code)', 'place')} FROM m WHERE image_id % 10 > 1"),
+    "quadtree_morton_order": q(LEAF, ", m AS (SELECT image_id, x, y, w, (" + " + ".join(f"(((x >> {i}) & 1) << {2 * i}) + (((y >> {i}) & 1) << {2 * i + 1})" for i in range(6)) + f") AS code FROM leaf) SELECT image_id, {big('x', 'x')}, {big('y', 'y')}, {big('w', 'w')}, {big('code', 'code')}, {big('row_number() OVER (PARTITION BY image_id ORDER BY code)', 'place')} FROM m"),
     "quadtree_reconstruct_error": q(LEAF, f", err AS (SELECT p.*, greatest(abs(p.r-f.r), abs(p.g-f.g), abs(p.b-f.b)) AS e, p.r = floor(f.r) AND p.g = floor(f.g) AND p.b = floor(f.b) AS same FROM px p JOIN of_px o USING (image_id, y, x) JOIN leaf f ON f.image_id = o.image_id AND f.level = o.level AND f.by_ = o.y >> o.level AND f.bx = o.x >> o.level) SELECT image_id, round(coalesce(max(e) FILTER (roi = 0), 0), 6) AS max_error, coalesce(bool_and(same) FILTER (roi = 1), true) AS exact_roi, {big('count(*)', 'n_px')} FROM err GROUP BY image_id"),
     "background_variance": q(PX, "SELECT image_id, round((coalesce(var_pop(r) FILTER (roi = 0), 0) + coalesce(var_pop(g) FILTER (roi = 0), 0) + coalesce(var_pop(b) FILTER (roi = 0), 0)) / 3, 5) AS variance FROM px GROUP BY image_id"),
     "row_bands": q(BAND, f"SELECT image_id, {big('y', 'y')}, {big('hh', 'h')}, {big('count(*)', 'n_leaves')}, {big('min(x)', 'x_min')}, {big('sum(w)', 'w_sum')} FROM band GROUP BY image_id, y, hh"),
@@ -105,7 +122,15 @@ reach(image_id, y, x) AS (SELECT image_id, y, x FROM ring WHERE roi = 0 AND (y =
     "byte_histogram": q(BYTES, f"SELECT {big('byte', 'byte')}, {big('count(*)', 'n')} FROM bytes GROUP BY byte"),
     "huffman_roundtrip": f"SELECT doc_id, {big('octet_length(encode(coalesce(text, chr(0)[1:0])))', 'n_bytes')}, true AS same FROM documents",
     "archive_offsets": q(ENTRIES, f"SELECT name, length, {big('coalesce(sum(length) OVER (ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)', 'offset')} FROM entry"),
-    "archive_index_overlap": q(ENTRIES + ", o AS (SELECT *, coalesce(sum(length) OVER (ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) - CASE WHEN id % 10 = 4 THEN 5 ELSE 0 END + CASE WHEN id % 50 = 9 THEN 1000000000 ELSE 0 END AS off, CASE WHEN id % 20 = 3 THEN 0 ELSE width END AS w FROM entry), e AS (SELECT *, lag(off + length) OVER (ORDER BY off) AS prev, sum(length) OVER () AS whole FROM o)", "SELECT name, CASE WHEN w <= 0 OR height <= 0 THEN 'no dimensions' WHEN prev > off THEN 'overlaps the entry before' ELSE 'exceeds the payload area' END AS problem FROM e WHERE w <= 0 OR height <= 0 OR prev > off OR off + length > whole"),
+    "archive_index_overlap": q(ENTRIES + ", o AS (SELECT *, coalesce(sum(length) OVER (ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) - CASE WHEN id % 10 = 4 THEN 5 ELSE 0 END + CASE WHEN id % 50 = 9 THEN 1000000000 ELSE 0 END AS off, CASE WHEN id % 20 = 3 THEN 0 ELSE width END AS w FROM entry), e AS (SELECT *, greatest(coalesce(max(off + length) OVER (ORDER BY off, off + length ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 0) AS reached, sum(length) OVER () AS whole, count(*) OVER (PARTITION BY name) AS same FROM o), c AS (SELECT name, CASE WHEN off < 0 OR length < 0 THEN 'bad metadata' WHEN w <= 0 OR height <= 0 THEN 'no dimensions' WHEN same > 1 THEN 'name occurs again' WHEN reached > off THEN 'overlaps an entry before' WHEN off + length > whole THEN 'exceeds the payload area' WHEN reached < off THEN 'gap before the entry' END AS problem FROM e)", "SELECT name, problem FROM c WHERE problem IS NOT NULL"),
+    "huffman_size": q(HUFFMAN, f"SELECT d.doc_id, {big('coalesce(octet_length(encode(d.text)), 0)', 'n_bytes')}, {big('CASE WHEN c.doc_id IS NULL THEN 4 ELSE 20 + (CASE WHEN kinds = 1 THEN 3 ELSE 2 * kinds - 1 END + 7) // 8 + (CASE WHEN kinds = 1 THEN 2 ELSE kinds END) + (bits + 7) // 8 END', 'encoded_bytes')} FROM documents d LEFT JOIN coded c USING (doc_id)", True),
+    "vertical_merge": q(COLUMNS, f"SELECT image_id, {', '.join(f'CAST({a} AS INT) AS {b}' for a, b in (('x', 'x'), ('y', 'y'), ('w', 'w'), ('h', 'h')))}, false AS is_roi, CAST(merged_from AS INT) AS merged_from, round(r, 6) AS r, round(g, 6) AS g, round(b, 6) AS b FROM merged UNION ALL SELECT image_id, CAST(x AS INT), CAST(y AS INT), CAST(w AS INT), CAST(hh AS INT), true, 1, round(r, 6), round(g, 6), round(b, 6) FROM leaf WHERE roi_any = 1", True),
+    "tall_quadtree_leaves": q(PX + """,
+tall AS (SELECT image_id // 4 AS image_id, y + 48 * (image_id % 4) AS y, x, CASE WHEN image_id % 4 = 3 AND image_id % 8 < 4 THEN roi ELSE 0 END AS roi FROM px WHERE y < 48),
+side AS (SELECT image_id, CASE WHEN max(y) < 64 THEN 64 WHEN max(y) < 128 THEN 128 ELSE 256 END AS side FROM tall GROUP BY 1),
+blocks AS (SELECT image_id, l.i AS level, y >> l.i AS by_, x >> l.i AS bx, max(roi) AS roi_any FROM tall JOIN side USING (image_id) JOIN (SELECT CAST(i AS INT) AS i FROM range(9) t(i)) l ON (1 << l.i) <= side GROUP BY ALL),
+found AS (SELECT t.image_id, t.y, t.x, max(b.level) AS level FROM tall t JOIN blocks b ON b.image_id = t.image_id AND b.by_ = t.y >> b.level AND b.bx = t.x >> b.level AND (b.roi_any = 0 OR b.level = 0) GROUP BY ALL)""", f"SELECT image_id, {big('level', 'level')}, {big('count(DISTINCT ((y >> level) * 1000 + (x >> level)))', 'n_leaves')}, {big('count(*)', 'area')} FROM found GROUP BY image_id, level"),
+    "progress_index": q(ENTRIES, f"SELECT name, {big('row_number() OVER (ORDER BY name)', 'index')} FROM entry"),
     "verify_missing_extra": q(ENTRIES, "SELECT name, 'missing' AS problem FROM entry WHERE id % 9 = 2 UNION ALL SELECT 'extra_' || name, 'extra' FROM entry WHERE id % 11 = 3"),
     "verify_duplicates": q(FILES, f"SELECT base AS name, {big('count(*)', 'n')} FROM base GROUP BY base HAVING count(*) > 1"),
     "verify_pixel_compare": q(VERIFY, f"SELECT image_id, {big('roi_pixels', 'roi_pixels')}, {big('roi_exact_pixels', 'roi_exact_pixels')}, {big('background_pixels', 'background_pixels')}, round(max_err, 6) AS max_background_error, full_exact FROM rowsv"),

@@ -6,6 +6,7 @@ in order. Reading is a Python data source whose index never touches payloads; a
 
 from __future__ import annotations
 
+import io
 import struct
 from collections.abc import Iterator
 
@@ -13,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, InputPartition
 
+# fixed by the format
 MAGIC, VERSION = b"ASCD", 1
 HEAD, LENGTH, ENTRY = struct.Struct("<BI"), struct.Struct("<I"), struct.Struct("<HHHQI")
 
@@ -47,17 +49,32 @@ def write(results: DataFrame, path: str) -> int:
         rows.unpersist()
 
 
+def pack(entries: list[tuple[str, int, int, bytes]]) -> bytes:
+    """An archive of (name, width, height, payload), in this order."""
+    return pack_index([(name, width, height, len(payload)) for name, width, height, payload in entries]) + b"".join(bytes(e[3]) for e in entries)
+
+
+def unpack(data: bytes) -> list[tuple[str, int, int, bytes]]:
+    """The entries of an archive in memory."""
+    index, base = parse_index(io.BytesIO(data))
+    return [(name, width, height, data[base + at : base + at + n]) for name, width, height, at, n in index]
+
+
 def read_index(path: str) -> tuple[list[tuple[str, int, int, int, int]], int]:
     """Entries (name, width, height, offset, length) and where the payloads begin."""
     with open(path, "rb") as f:
-        head = f.read(len(MAGIC) + HEAD.size + LENGTH.size)
-        if len(head) < len(MAGIC) + HEAD.size + LENGTH.size or head[: len(MAGIC)] != MAGIC:
-            raise ArchiveError("not an archive")
-        version, count = HEAD.unpack_from(head, len(MAGIC))
-        if version != VERSION:
-            raise ArchiveError(f"version {version} is not supported")
-        (size,) = LENGTH.unpack_from(head, len(MAGIC) + HEAD.size)
-        raw = f.read(size)
+        return parse_index(f)
+
+
+def parse_index(f) -> tuple[list[tuple[str, int, int, int, int]], int]:
+    head = f.read(len(MAGIC) + HEAD.size + LENGTH.size)
+    if len(head) < len(MAGIC) + HEAD.size + LENGTH.size or head[: len(MAGIC)] != MAGIC:
+        raise ArchiveError("not an archive")
+    version, count = HEAD.unpack_from(head, len(MAGIC))
+    if version != VERSION:
+        raise ArchiveError(f"version {version} is not supported")
+    (size,) = LENGTH.unpack_from(head, len(MAGIC) + HEAD.size)
+    raw = f.read(size)
     out, at = [], 0
     for _ in range(count):
         if at + ENTRY.size > len(raw):
