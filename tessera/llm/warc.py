@@ -101,6 +101,13 @@ def _inflate(data: bytes, at: int) -> tuple[bytes, int, bool]:
             size += len(parts[-1])
             end += CHUNK
     except zlib.error:
+        z = zlib.decompressobj(31)
+        z.decompress(data[at:end])  # the bytes before the damage once more, then one by one up to it
+        for i in range(end, len(data)):
+            try:
+                parts.append(z.decompress(data[i : i + 1]))
+            except zlib.error:
+                break
         return b"".join(parts), at, False
     return b"".join(parts), min(end, len(data)) - len(z.unused_data), z.eof
 
