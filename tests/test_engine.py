@@ -63,17 +63,110 @@ def test_tiles_keep_tolerance_and_area():
         assert np.abs(rgb[y : y + h, x : x + w] - t["value"][i]).max() <= 12 + 1e-9
 
 
-def test_merge_row_gap_cap_and_compat():
+def runs(x, value, low, high, **options):
+    n = len(x)
+    one = np.ones(n, int)
+    return tiles.merge_rows((np.zeros(n, int),), x, one, one, value, low, high, 12, **options)["n"].tolist()
+
+
+def test_merge_rows_gap_cap_and_compat():
     n = 11
-    x, one = np.arange(n), np.ones(n, int)
+    x = np.arange(n)
     value = np.full((n, 3), 50.0)
     low, high = value.copy(), value.copy()
     low[5], high[5] = 0, 100
-    assert [j - i for i, j in tiles.merge_row(x, one, one, value, low, high, 12)] == [5, 1, 5]
-    assert [j - i for i, j in tiles.merge_row(x, one, one, value, low, high, 12, compat=True)] == [5] + [1] * 6
-    assert [j - i for i, j in tiles.merge_row(x, one, one, value, value, value, 12, max_run=4)] == [4, 4, 3]
-    gap = np.where(x > 3, x + 1, x)
-    assert [j - i for i, j in tiles.merge_row(gap, one, one, value, value, value, 12)] == [4, 7]
+    assert runs(x, value, low, high) == [5, 1, 5]
+    assert runs(x, value, low, high, compat=True) == [5] + [1] * 6
+    assert runs(x, value, value, value, max_run=4) == [4, 4, 3]
+    assert runs(np.where(x > 3, x + 1, x), value, value, value) == [4, 7]
+    assert runs(x[:0], value[:0], low[:0], high[:0]) == []
+
+
+def test_merge_rows_are_the_fewest_runs():
+    """Against all cuts of small bands: the fewest runs, the last as short as can be, then the one before it."""
+    rng = np.random.default_rng(4)
+    for _ in range(60):
+        bands = [rng.integers(1, 9) for _ in range(3)]
+        band = np.repeat(np.arange(3), bands)
+        n = len(band)
+        w = rng.integers(1, 4, n)
+        x = np.concatenate([np.cumsum(w[band == b] + (rng.random(int(k)) < 0.15)) - w[band == b] for b, k in enumerate(bands)])
+        value = np.repeat(rng.integers(0, 40, (n, 1)), 3, axis=1).astype(float)
+        got = tiles.merge_rows((band,), x, w, np.ones(n, int), value, value, value, 12)["n"].tolist()
+        want = []
+        for b in range(3):
+            i = np.flatnonzero(band == b)
+
+            def fits(j, k, i=i):
+                """Whether leaves j .. k - 1 make a tile, as do all that end with them."""
+                for a in range(k - 2, j - 1, -1):
+                    t = i[a:k]
+                    mean = (value[t, 0] * w[t]).sum() / w[t].sum()
+                    if x[i[a]] + w[i[a]] != x[i[a + 1]] or np.abs(value[t, 0] - mean).max() > 12:
+                        return False
+                return True
+
+            best = {0: []}
+            for k in range(1, len(i) + 1):
+                best[k] = min(([*best[j], k - j] for j in range(k) if fits(j, k)), key=lambda r: (len(r), r[-1]))
+            want += best[len(i)]
+        assert got == want
+
+
+def png(rgb, bits=8, kind=2):
+    """A PNG file of a raster (height x width x channels)."""
+    import struct
+    import zlib
+
+    chunk = lambda t, d: struct.pack(">I", len(d)) + t + d + struct.pack(">I", zlib.crc32(t + d))
+    rows = b"".join(b"\0" + r.tobytes() for r in rgb)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", rgb.shape[1], rgb.shape[0], bits, kind, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rows)) + chunk(b"IEND", b"")
+
+
+def test_files_from_folder_to_verified_archive(spark, tmp_path):
+    from tessera import cli
+    from tessera.sources import images
+
+    folder = tmp_path / "in"
+    (folder / "sub").mkdir(parents=True)
+    rgb = {"b.png": picture(40, 56, 1)[0], "sub/a.png": picture(33, 20, 2)[0]}
+    for name, x in rgb.items():
+        (folder / name).write_bytes(png(x))
+    (folder / "gray.png").write_bytes(png(np.zeros((8, 8, 1), np.uint8), kind=0))
+    (folder / "rgba.png").write_bytes(png(np.full((8, 8, 4), 200, np.uint8), kind=6))
+    (folder / "deep.png").write_bytes(png(np.zeros((8, 8, 3), ">u2"), bits=16))
+    (folder / "cut.png").write_bytes(png(rgb["b.png"])[:60])
+    (folder / "bad.jpg").write_bytes(b"no image")
+    (folder / "note.txt").write_bytes(b"text")
+    rows = {r.path.rpartition("/in/")[2]: r for r in images.scan(spark, str(folder)).collect()}
+    assert {k: r.reason for k, r in rows.items()} == {"b.png": None, "sub/a.png": None, "gray.png": "grayscale", "rgba.png": "not 3 channels", "deep.png": "not 8-bit", "cut.png": "not a decodable image", "bad.jpg": "not a decodable image"}
+    assert all(rows[k].data == x.tobytes() and (rows[k].height, rows[k].width) == x.shape[:2] for k, x in rgb.items())  # colours in order
+    out = str(tmp_path / "out.ascd")
+    assert cli.main(["inspect", str(folder)], spark) == 0 and cli.main(["inspect", str(tmp_path / "nowhere")], spark) == 2
+    assert cli.main(["compress", str(folder), "-o", out, "--roi-method", "classical", "-T", "10", "--batch-csv", str(tmp_path / "csv")], spark) == 0
+    assert spark.read.option("header", True).csv(str(tmp_path / "csv")).columns == ["name", "roi_coverage", "final_cr", "total_time_s"]
+    told = ["verify", "--original", str(folder), "--archive", out, "--roi-method", "classical"]
+    assert cli.main([*told, "-T", "10", "--output-dir", str(tmp_path / "report")], spark) == 0
+    assert spark.read.json(str(tmp_path / "report/verify_json/images")).count() == 2
+    (folder / "sub/a.png").unlink()
+    assert cli.main(told, spark) == 1  # an entry without an original
+    (tmp_path / "other").write_bytes(b"NOPE")
+    assert cli.main(["verify", "--original", str(folder), "--archive", str(tmp_path / "other")], spark) == 1
+
+
+def test_masks_by_stem_and_fallback():
+    from tessera.operators import roi
+
+    rgb, mask = picture(40, 56, 1)
+    half = (mask[::2, ::2] * 255).astype(np.uint8)
+    found, meta = roi.segment(rgb, "mask-dir", user_mask=half)
+    assert found.shape == mask.shape and meta["method"] == "mask-dir" and abs(found.mean() - mask.mean()) < 0.05
+    with pytest.raises(ValueError):
+        roi.segment(rgb, "mask-dir")
+    for _ in range(2):
+        found, meta = roi.segment(rgb, "u2net", model_path="/nowhere.onnx")
+        assert meta["fallback"] and meta["method"] == "classical" and meta["fallback_reason"]
+    assert roi._session.cache_info().hits >= 1  # the failure is kept
 
 
 @pytest.mark.parametrize("data", [b"", b"a" * 200, b"ab" * 9, bytes(range(256)) * 4, np.random.default_rng(1).integers(0, 256, 5000, np.uint8).tobytes()])
@@ -123,9 +216,12 @@ def test_config():
             PipelineConfig(**bad)
 
 
-def test_relational_leaves_equal_kernel(spark):
-    rgb, mask = picture(40, 50, 3)
-    rows = [(1, y, x, *map(int, rgb[y, x]), int(mask[y, x])) for y in range(40) for x in range(50)]
+@pytest.mark.parametrize("h, w", [(40, 50), (130, 70)])
+def test_relational_leaves_equal_kernel(spark, h, w, monkeypatch):
+    monkeypatch.setattr(quadtree, "HELD", 6 if h < 64 else 4)
+    rgb, mask = picture(h, w, 3)
+    rgb[: h // 2, : w // 2], mask[: h // 2, : w // 2] = 77, 0
+    rows = [(1, y, x, *map(int, rgb[y, x]), int(mask[y, x])) for y in range(h) for x in range(w)]
     px = spark.createDataFrame(rows, "image_id long, y int, x int, r int, g int, b int, roi int")
     for criterion in ("range", "variance"):
         got = {(r.x, r.y, r.w, r.h, r.is_roi, round(r.r, 6)) for r in quadtree.leaves(px, criterion, 12).collect()}
