@@ -62,7 +62,7 @@ def op10_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_language_id, op3_hilbert_packing, op4_line_dedup, op5_tiff_media, op6_minhash_dedup, op7_trie_bpe, op8_nn_descent, op9_rendezvous_sharding, op10_warc_salvage)}
 #: Windows of 20 words by their text; the first of equal ones stays.
 _OP1 = """
-WITH doc AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), x -> x <> '') AS ws FROM documents),
+WITH doc AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents),
 win AS (SELECT doc_id, i, array_to_string(ws[i:i + 19], ' ') AS s FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS i FROM doc WHERE len(ws) >= 20)),
 later AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS place FROM win) WHERE place > 1),
 hit AS (SELECT DISTINCT doc_id, i + k.k AS i FROM later CROSS JOIN (SELECT k FROM range(20) t(k)) k),
