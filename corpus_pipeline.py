@@ -16,6 +16,17 @@ from tessera.llm import common, langid, line_dedup, minhash, packing, suffix_ded
 from tessera.llm.queries import vocabulary
 
 
+#: How many tables had been written when the first stage, or the first one that was called, began.
+_BEGAN: list[int] = []
+
+
+def _begin(spark: SparkSession, first: bool = False) -> None:
+    """Deletes what the stages since the first have left; tables of other queries stay."""
+    if first or not _BEGAN:
+        _BEGAN[:] = [common.written()]
+    common.discard_since(spark, _BEGAN[0])
+
+
 def _shortened(docs: DataFrame, rows: DataFrame, text: str, removed) -> DataFrame:
     """The columns of docs from rows; where `removed` holds, text is that column and n_chars, if there is one, its length."""
     changed = {"text": F.when(removed, F.col(text)).otherwise(F.col("text"))}
@@ -26,13 +37,13 @@ def _shortened(docs: DataFrame, rows: DataFrame, text: str, removed) -> DataFram
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose language is accepted; the model is trained on these documents' labelled rows."""
-    common.discard_since(spark)
+    _begin(spark, True)
     return langid.accepted_rows(docs)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that occur before; those that lose none are unchanged, those that lose all stay with an empty text."""
-    common.discard_since(spark)
+    _begin(spark)
     found = common.free_name(docs, "lines")
     rows = line_dedup.rewrite_lines(docs, found)
     return _shortened(docs, rows, f"{found}.kept_text", F.col(f"{found}.n_removed") > 0)
@@ -40,7 +51,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first row of each group of near copies."""
-    common.discard_since(spark)
+    _begin(spark)
     key = common.free_name(docs, "row_key")
     keyed = common.row_keys(docs, key)
     mark = common.written()
@@ -52,14 +63,14 @@ def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def dedup_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the words of passages that start earlier too; those that lose none are unchanged."""
-    common.discard_since(spark)
+    _begin(spark)
     rows = suffix_dedup.rewrite_repeats(docs)
     return _shortened(docs, rows, "text", F.col(rows.columns[-1]) > 0)
 
 
 def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents in sequences of 4096 tokens."""
-    common.discard_since(spark)
+    _begin(spark)
     return packing.pack(docs, vocabulary("word_bpe_49k.json"), length=4096, end_id=2)
 
 
