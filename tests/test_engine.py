@@ -291,3 +291,15 @@ def test_byte_histogram_counts_every_byte(spark, tmp_path):
     texts = ["é漢字😀 ß", "a\0b\x7f", "", None, "plain\n" * 300]
     spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     assert {r.byte: r.n for r in catalogue.byte_histogram(spark, str(tmp_path)).collect()} == Counter(b"".join((t or "").encode() for t in texts))
+
+
+#: Queries over pixels, none of which may be broadcast: Spark takes them for as few as the suppliers they are made of.
+OVER_PIXELS = ["raster_pad"]
+
+
+@pytest.mark.parametrize("name", OVER_PIXELS)
+def test_no_pixels_are_broadcast(spark, name):
+    from tessera.plans import catalogue
+
+    plan = catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "CartesianProduct" not in plan
