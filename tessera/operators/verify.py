@@ -21,9 +21,18 @@ def duplicates(names: DataFrame) -> DataFrame:
 
 
 def _ranged(entries: DataFrame, order: str) -> DataFrame:
-    """entries with their part of the order; parts are ranges, and a null is in the first one."""
+    """entries with their part of the order; parts are ranges, and a null is in the first one.
+
+    The ranges' least values are drawn once and stand in the plan. A range exchange draws its bounds from a sample that differs from one use of it to the next, so an entry could be in one part for its
+    offset and in another for the part's total.
+    """
     parts = max(8, entries.sparkSession.sparkContext.defaultParallelism)
-    return entries.repartitionByRange(parts, order).withColumn("part", F.spark_partition_id())
+    drawn = entries.select(F.col(order).alias("v")).filter("v is not null").repartitionByRange(parts, "v").groupBy(F.spark_partition_id().alias("p")).agg(F.min("v").alias("v"))
+    bounds = sorted(r.v for r in drawn.select("v").collect())[1:]
+    part = F.lit(0)
+    for v in bounds:
+        part = part + F.coalesce((F.col(order) >= F.lit(v)).cast("int"), F.lit(0))
+    return entries.withColumn("part", part)
 
 
 def _before(parts: DataFrame, value: str, fold) -> DataFrame:

@@ -303,3 +303,21 @@ def test_no_pixels_are_broadcast(spark, name):
 
     plan = catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in plan and "CartesianProduct" not in plan
+
+
+def _entries(spark, n):
+    """n entries of some partitions, more than a range exchange takes whole to draw its bounds."""
+    from pyspark.sql import functions as F
+
+    return spark.range(0, n, 1, 3).select("id", F.concat(F.lit("e"), "id").alias("name"), (1 + F.col("id") * 37 % 900).alias("length"), F.lit(4).alias("width"), F.lit(4).alias("height"))
+
+
+def test_offsets_of_many_entries(spark):
+    from tessera.operators import verify
+
+    rows = sorted(verify.offsets(_entries(spark, 40_000), "id").select("id", "name", "length", "offset").collect())
+    assert len(rows) == 40_000
+    at = 0
+    for r in rows:
+        assert r.offset == at
+        at += r.length
