@@ -321,3 +321,15 @@ def test_offsets_of_many_entries(spark):
     for r in rows:
         assert r.offset == at
         at += r.length
+
+
+def test_overlaps_of_many_entries(spark):
+    from pyspark.sql import functions as F
+
+    from tessera.operators import verify
+
+    whole = _entries(spark, 40_000).withColumn("length", F.lit(10)).withColumn("offset", F.col("id") * 10)
+    assert verify.structure_errors(whole).collect() == []
+    moved = whole.withColumn("offset", F.col("offset") - F.when(F.col("id") % 1000 == 4, 3).otherwise(0))
+    found = {(r.name, r.problem) for r in verify.structure_errors(moved).collect()}
+    assert found == {x for i in range(4, 40_000, 1000) for x in ((f"e{i}", "overlaps an entry before"), (f"e{i + 1}", "gap before the entry"))}
