@@ -294,7 +294,7 @@ def test_byte_histogram_counts_every_byte(spark, tmp_path):
 
 
 #: Queries over pixels, none of which may be broadcast: Spark takes them for as few as the suppliers they are made of.
-OVER_PIXELS = ["raster_pad", "roi_percentile_threshold", "quadtree_leaves_range"]
+OVER_PIXELS = ["raster_pad", "roi_percentile_threshold", "quadtree_leaves_range", "block_range_pyramid"]
 
 
 @pytest.mark.parametrize("name", OVER_PIXELS)
