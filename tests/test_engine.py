@@ -294,7 +294,7 @@ def test_byte_histogram_counts_every_byte(spark, tmp_path):
 
 
 #: Queries over pixels, none of which may be broadcast: Spark takes them for as few as the suppliers they are made of.
-OVER_PIXELS = ["raster_pad", "roi_percentile_threshold", "quadtree_leaves_range", "block_range_pyramid", "block_stats_pyramid", "verify_pixel_compare", "row_bands", "dp_row_merge", "quadtree_reconstruct_error", "vertical_merge", "band_islands", "dp_backtrack_tiles", "mode_switch_compare", "quadtree_leaves_variance", "quadtree_morton_order", "tile_area_weighted_mean", "tile_reduction_ratio", "tile_wire_size", "tiles_paint_range_join", "tall_quadtree_leaves", "verify_summary"]
+OVER_PIXELS = ["raster_pad", "roi_percentile_threshold", "quadtree_leaves_range", "block_range_pyramid", "block_stats_pyramid", "verify_pixel_compare", "row_bands", "dp_row_merge", "quadtree_reconstruct_error", "vertical_merge", "band_islands", "dp_backtrack_tiles", "mode_switch_compare", "quadtree_leaves_variance", "quadtree_morton_order", "tile_area_weighted_mean", "tile_reduction_ratio", "tile_wire_size", "tiles_paint_range_join", "tall_quadtree_leaves", "verify_summary", "vertical_stacks"]
 
 
 @pytest.mark.parametrize("name", OVER_PIXELS)
