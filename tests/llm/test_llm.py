@@ -7,7 +7,7 @@ import zlib
 import numpy as np
 import pytest
 
-from tessera.llm import bpe, common, langid, line_dedup, minhash, nn_descent, packing, sharding, suffix_dedup, tiff, warc
+from tessera.llm import bpe, common, graph, langid, line_dedup, minhash, nn_descent, packing, sharding, suffix_dedup, tiff, warc
 from tessera.llm.graph import components
 from tessera.llm.queries import vocabulary
 
@@ -278,6 +278,47 @@ def test_components(spark):
     assert got == {x: find(x) for x in parent if any(x in e and e[0] != e[1] for e in edges)}
 
 
+def test_components_of_few_links_need_no_rounds(spark, monkeypatch):
+    """A round deals its rows out several times: of few links it costs as much as of many, and three searches of some rounds each took most of op6's time on 211 partitions."""
+    written = []
+    write = graph.materialize
+    monkeypatch.setattr(graph, "materialize", lambda df, label, *a: (written.append(label), write(df, label, *a))[1])
+    rng = random.Random(12)
+    texts = [" ".join(f"w{rng.randrange(900)}" for _ in range(80)) for _ in range(12)]
+    texts += [f"{t} more" for t in texts[:8]] + [f"other {t}" for t in texts[4:]] + texts[:2]
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(frame(spark, list(enumerate(texts)))).collect()}
+    assert got == dict(enumerate(weighted_components(texts)))
+    assert set(written) == {"edges"} and len(written) <= 3
+
+
+@pytest.mark.parametrize("most", [0, 10**6])
+def test_components_by_rounds_and_by_the_driver(spark, monkeypatch, most):
+    monkeypatch.setattr(graph, "DRIVER_LINKS", most)
+    written = []
+    write = graph.materialize
+    monkeypatch.setattr(graph, "materialize", lambda df, label, *a: (written.append(label), write(df, label, *a))[1])
+    rng = random.Random(13)
+    least, path = common.LEAST_LONG, list(range(5000, 5300))
+    rng.shuffle(path)
+    edges = [(least, 7), (7, 2**62), (3, 3), *zip(path, path[1:], strict=False), *[(900, i) for i in range(100, 180)], *[(rng.randrange(10**6, 10**6 + 500), rng.randrange(10**6, 10**6 + 500)) for _ in range(300)]] * 2
+    want: dict = {x: x for e in edges if e[0] != e[1] for x in e}
+    for _ in want:
+        before = dict(want)
+        for a, b in edges:
+            if a != b:
+                want[a] = want[b] = min(want[a], want[b])
+        if want == before:
+            break
+    got = components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert len(got) == len(want) and {r.node: r.component for r in got} == want
+    assert components(spark.createDataFrame([(1, 1)], "a long, b long")).collect() == []
+    # stars are known as such in the round that makes them
+    del written[:]
+    star = {r.node: r.component for r in components(spark.createDataFrame([(1, i) for i in range(2, 40)], "a long, b long")).collect()}
+    assert star == dict.fromkeys(range(1, 40), 1)
+    assert written.count("stars") == (0 if most else 1)
+
+
 def test_nn_descent(spark):
     rng = np.random.default_rng(0)
     centres = rng.normal(size=(30, 16))
